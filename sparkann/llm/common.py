@@ -7,6 +7,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Used only where the session names no folder of its own, as in tests on one machine.
 LOCAL_SCRATCH = "/tmp/checkpoints/sparkann"
@@ -27,6 +28,21 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole_row(df: DataFrame) -> F.Column:
+    """All columns as one struct, row, which no other name can clash with."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+
+
+def unpacked_rows(df: DataFrame, **changed: F.Column) -> DataFrame:
+    """The columns of the struct row again, some of them changed."""
+    return df.select(*(changed[c].alias(c) if c in changed else F.col("row")[c].alias(c) for c in df.schema["row"].dataType.names))
+
+
+def with_row(schema: str, df: DataFrame) -> T.StructType:
+    """A schema with df's struct row added."""
+    return T.StructType([*T.StructType.fromDDL(schema).fields, df.schema["row"]])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

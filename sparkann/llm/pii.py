@@ -25,7 +25,7 @@ from math import exp, log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkann.llm.common import documents, written
+from sparkann.llm.common import documents, unpacked_rows, whole_row, written
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("format", "boundary", "gazetteer", "context", "counter_context", "company")
@@ -164,9 +164,9 @@ def votes(text: Column, kind: str, base: bool, others: Column) -> Callable[[Colu
     return vote
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, and for each kind its base spans and its loose ones, with votes."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def candidates(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, and for each kind its base spans and its loose ones, with votes; with carry, text and all columns in row."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[whole_row(docs)] * carry)
     text = F.col("text")
     held = slim.withColumns({f"found_{k}_{w}": guarded(text, k, w, p[k], v[k]) for w, p, v in (("base", BASE, VALID), ("loose", LOOSE, LOOSELY_VALID)) for k in KINDS})
     bases = lambda kinds: F.concat(*(F.col(f"found_{k}_base") for k in kinds))
@@ -176,7 +176,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         others = bases([o for o in KINDS if o != k])
         columns[f"{k}_base"] = F.transform(F.col(f"found_{k}_base"), votes(text, k, True, others))
         columns[f"{k}_loose"] = F.transform(F.filter(F.col(f"found_{k}_loose"), apart), votes(text, k, False, others))
-    return held.select("doc_id", *(c.alias(n) for n, c in columns.items()))
+    return held.select("doc_id", *["text", "row"] * carry, *(c.alias(n) for n, c in columns.items()))
 
 
 def patterns(table: DataFrame) -> list[tuple[str, int, int]]:
@@ -264,6 +264,28 @@ def decided(table: DataFrame, weights: list[float]) -> DataFrame:
     return held.withColumn("spans", F.array_sort(F.concat("base", "added"))).drop("added")
 
 
+def masked(text: Column, spans: Column) -> Column:
+    """text with a tag in place of each span; of spans that overlap, the first names them all."""
+    tags = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def step(done: Column, s: Column) -> Column:
+        gap = F.substring(text, done["at"] + 1, s["start"] - done["at"])
+        parts = F.when(s["start"] >= done["at"], F.concat(done["parts"], F.array(gap, F.get(tags, s["kind"])))).otherwise(done["parts"])
+        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), parts.alias("parts"))
+
+    whole = lambda done: F.concat(F.array_join(done["parts"], ""), F.substring(text, done["at"] + 1, F.length(text)))
+    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, whole)).otherwise(text)
+
+
+def mask(docs: DataFrame) -> DataFrame:
+    """docs with personal data masked in text, all other columns as they were; a null text stays null."""
+    weights = classifier(patterns(written(candidates(docs), "pii-candidates")))
+    found = decided(candidates(docs, carry=True), weights)
+    text = F.when(F.col("row")["text"].isNotNull(), masked(F.col("text"), F.col("spans")))
+    return unpacked_rows(found, text=text)
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find(documents(spark, sf_dir))
     is_kind = lambda i: lambda s: s["kind"] == i

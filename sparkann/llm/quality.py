@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkann.llm.common import documents, text_bytes, written
+from sparkann.llm.common import documents, text_bytes, unpacked_rows, whole_row, with_row, written
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -76,16 +76,17 @@ def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
             rows = [measure(x) for x in text_bytes(part["text"])]
-            columns = [part["doc_id"], part["stratum"], *(pa.array([r[i] for r in rows], pa.int64()) for i in range(5)), pa.array([r[5] for r in rows], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "metrics"])
+            carried = [part["row"]] if "row" in part.schema.names else []
+            columns = [part["doc_id"], part["stratum"], *(pa.array([r[i] for r in rows], pa.int64()) for i in range(5)), pa.array([r[5] for r in rows], pa.list_(pa.float64())), *carried]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "metrics", "row"][: len(columns)])
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """One row per document: counts, base verdict and the bin of each rule's metric."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("?")).alias("stratum"), F.col("text").cast("string").alias("text"))
+def features(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """One row per document: counts, base verdict and the bin of each rule's metric; with carry, all its columns in row."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("?")).alias("stratum"), F.col("text").cast("string").alias("text"), *[whole_row(docs)] * carry)
     bins = F.array(*(F.floor(F.col("metrics")[i] * n).cast("int") for i, n in enumerate(RULES.values())))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return slim.mapInArrow(measured, FEATURES).withColumns({"base_failed": failed, "bins": bins}).drop("metrics")
+    return slim.mapInArrow(measured, with_row(FEATURES, slim) if carry else FEATURES).withColumns({"base_failed": failed, "bins": bins}).drop("metrics")
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
@@ -154,6 +155,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
     return judge(table, written(thresholds(table, labels, alpha, delta), "quality-cutoffs"))
 
 
+def kept_documents(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns."""
+    cutoffs = written(thresholds(written(features(docs), "quality-features"), labels, alpha, delta), "quality-cutoffs")
+    return unpacked_rows(judge(features(docs, carry=True), cutoffs).where("kept"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

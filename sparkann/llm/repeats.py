@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkann.llm.common import documents, key128, shuffle_partitions, text_bytes, written
+from sparkann.llm.common import documents, key128, shuffle_partitions, text_bytes, unpacked_rows, whole_row, with_row, written
 
 LENGTH, ANCHOR, HOT = 400, 200, 1000
 #: Bytes scanned at a time, and bytes of candidates indexed at a time.
@@ -418,6 +418,30 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     return rows.join(texts.select("t1", "t2", "copies"), ["t1", "t2"]), kept
 
 
+def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            rows = zip(part["text"].to_pylist(), part["spans"].to_pylist(), strict=True)
+            texts = [x if x is None or not s else without(x.encode(), merged(s)).decode("utf-8", "ignore") for x, s in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), part["row"]], ["text", "row"])
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs with repeated spans cut out of text, and with n_chars counted anew if it is there; a character that loses some of
+    its bytes goes, a null text stays null."""
+    keyed = with_keys(docs)
+    texts = written(keyed.groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least")), "distinct-texts")
+    _, spans = repeats(keyed, texts, length)
+    whole = texts.where("copies > 1").select("t1", "t2", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(MASK >> 1).alias("b"))).alias("spans"))
+    spans = written(spans.join(whole, ["t1", "t2"], "left_anti").unionByName(whole), "spans")
+    found = with_keys(docs, whole_row(docs)).drop("text").join(spans, ["t1", "t2"], "left").withColumn("text", F.col("row")["text"].cast("string"))
+    whole_short = F.octet_length("text") < length  # copies of a short text repeat no long string
+    found = found.withColumn("spans", F.when(~whole_short, F.col("spans"))).select("row", "text", "spans")
+    cut = found.mapInArrow(cut_texts, with_row("text string", found))
+    return unpacked_rows(cut, text=F.col("text"), n_chars=F.length("text").cast("long"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, kept = remove_repeats(documents(spark, sf_dir))
     n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkann.llm.common import documents, shuffle_partitions, text_bytes, written
+from sparkann.llm.common import documents, shuffle_partitions, text_bytes, unpacked_rows, whole_row, with_row, written
 from sparkann.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -59,13 +59,14 @@ def fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
             prints = np.array([fingerprint(x) for x in text_bytes(part["text"])], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(prints)], ["doc_id", "fp"])
+            carried = [part["row"]] if "row" in part.schema.names else []
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(prints), *carried], ["doc_id", "fp", "row"][: 2 + len(carried)])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the bits as a signed long)."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(fingerprinted, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, fp (the bits as a signed long); with carry, all columns in row."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[whole_row(docs)] * carry)
+    return slim.mapInArrow(fingerprinted, with_row("doc_id long, fp long", slim) if carry else "doc_id long, fp long")
 
 
 def flips() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,17 +134,31 @@ def ball_links(fps: DataFrame) -> DataFrame:
     return emitted.repartition(parts, "variant").mapInArrow(matched, "a long, b long").distinct()
 
 
+def roots_of(nodes: DataFrame) -> DataFrame:
+    """nodes: a written table with a row for each distinct fp. Adds root, one value for each component."""
+    roots = written(components(ball_links(nodes.select("fp"))), "components").withColumnRenamed("node", "fp")
+    return nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id for each document."""
     slim = written(fingerprints(docs), "fingerprints")
     nodes = written(slim.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
-    roots = written(components(ball_links(nodes.select("fp"))), "components").withColumnRenamed("node", "fp")
-    named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = written(roots_of(nodes), "fingerprint-roots")
     least = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "component-least")
     classes = written(named.join(least, "root").select("fp", "component_id"), "fingerprint-components")
     return slim.join(classes, "fp")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The row with the least doc_id of each component, with all its columns; of repeated rows, one."""
+    table = written(fingerprints(docs, carry=True).withColumn("nth", F.monotonically_increasing_id()), "fingerprinted")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "nth")).alias("first")
+    nodes = written(table.groupBy("fp").agg(first), "fingerprint-classes")
+    chosen = written(roots_of(nodes).groupBy("root").agg(F.min("first").alias("first")).select("first.nth"), "chosen")
+    return unpacked_rows(table.join(chosen, "nth", "left_semi"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(documents(spark, sf_dir))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,4 +1,5 @@
 """All queries over the engine's own operators and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from sparkann.plans.queries import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

@@ -406,16 +406,16 @@ def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part["t1"], part["t2"], pa.array([[{"a": a, "b": b} for a, b in s] for s, _ in rows], kind), pa.array([k for _, k in rows], pa.binary())], ["t1", "t2", "spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """Returns the rows (doc_id, t1, t2, n_bytes, sha256 of the text, copies) and, for each text that loses anything but
-    has no second copy, t1, t2, spans (merged) and kept (its remaining bytes). Texts with copies of length bytes or more
-    are not in the second table: nothing of them remains."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Returns the rows (doc_id, t1, t2, n_bytes, sha256 of the text), the distinct texts (t1, t2, copies), and, for each text
+    that loses anything but has no second copy, t1, t2, spans (merged) and kept (its remaining bytes). Texts with copies of
+    length bytes or more are not in the third table: nothing of them remains."""
     keyed = with_keys(docs)
     rows = written(keyed.select("doc_id", "t1", "t2", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha256")), "texts")
     texts = written(rows.groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least")), "distinct-texts")
     held, spans = repeats(keyed, texts, length, anchor, hot)
     kept = held.where("copies = 1").select("t1", "t2", "text").join(written(spans, "spans"), ["t1", "t2"]).mapInArrow(removed, "t1 long, t2 long, spans array<struct<a:long,b:long>>, kept binary")
-    return rows.join(texts.select("t1", "t2", "copies"), ["t1", "t2"]), kept
+    return rows, texts.select("t1", "t2", "copies"), kept
 
 
 def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,9 +443,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, kept = remove_repeats(documents(spark, sf_dir))
+    rows, texts, kept = remove_repeats(documents(spark, sf_dir))
     n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
-    digests = written(kept.select("t1", "t2", n_removed.alias("gone"), F.size("spans").cast("long").alias("parts"), F.sha2("kept", 256).alias("rest")), "digests")
+    digests = kept.select("t1", "t2", n_removed.alias("gone"), F.size("spans").cast("long").alias("parts"), F.sha2("kept", 256).alias("rest"))
+    # One table by text, so that rows meet it in a single join, whose hot texts can be split among tasks.
+    digests = written(texts.join(digests, ["t1", "t2"], "left").where("copies > 1 or gone is not null"), "digests")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     out = rows.join(digests, ["t1", "t2"], "left")
     return out.select(

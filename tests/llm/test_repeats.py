@@ -42,8 +42,8 @@ def corpus(seed):
 def test_brute_force(spark, length, anchor, hot):
     docs = corpus(length + hot)
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
-    rows, kept = repeats.remove_repeats(df, length, anchor, hot)
-    rows = {r.doc_id: r for r in rows.collect()}
+    rows, texts, kept = repeats.remove_repeats(df, length, anchor, hot)
+    rows = {r.doc_id: r for r in rows.join(texts, ["t1", "t2"]).collect()}
     kept = {(r.t1, r.t2): r for r in kept.collect()}
     got = []
     for i in range(len(docs)):
@@ -86,5 +86,5 @@ def test_cut_documents_keep_their_columns(spark):
 
 
 def test_empty(spark):
-    rows, kept = repeats.remove_repeats(cases.frame(spark, []))
-    assert rows.collect() == [] and kept.collect() == []
+    rows, texts, kept = repeats.remove_repeats(cases.frame(spark, []))
+    assert rows.collect() == [] and texts.collect() == [] and kept.collect() == []

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from sparkann.llm.common import written
 
 K, SCALE = 10, 1024.0
-SAMPLE, PIVOTS, TREE, CAPACITY, BLOCK = 2048, 1024, 512, 32, 4096
+SAMPLE, PIVOTS, TREE, CAPACITY, BLOCK = 2048, 1024, 1024, 128, 4096
 PAGES = "tree int, page int, leaf boolean, ids binary, vectors binary, parent_distances binary, radii binary, children binary"
 #: Stands for a null vec_id within pages.
 NO_ID = np.iinfo(np.int64).max

@@ -2,14 +2,17 @@ from collections import defaultdict
 
 import corpus_pipeline
 from sparkann.llm.common import written
+from sparkann.llm.simhash import fingerprint
 from tests.llm import cases
 
 
 def test_stages_take_effect(spark, tmp_path):
     passage = " ".join(f"shared{i}" for i in range(80))
     copy = " ".join(f"word{i * 7 % 101}x{i}" for i in range(120))
+    apart = lambda t: (fingerprint(t.encode()) ^ fingerprint(copy.encode())).bit_count()
+    near_copy = next(t for i in range(1000) if 0 < apart(t := copy.replace("word0x0 ", f"word0x{i}y ")) <= 3)
     own = lambda k: " ".join(f"own{k}w{i}" for i in range(70))
-    source = [(1, copy, "en"), (2, copy, "en"), (3, copy + " .", "en"), (4, own(4) + " " + passage, "en"), (5, passage + " " + own(5), "fr"), (6, own(6) + " mail me at jo.do@example.org now", "en"), (7, "too short", "en"), (8, "the same " * 60, "en"), (None, own(9), None), (10, None, "en")]
+    source = [(1, copy, "en"), (2, copy, "en"), (3, near_copy, "en"), (4, own(4) + " " + passage, "en"), (5, passage + " " + own(5), "fr"), (6, own(6) + " mail me at jo.do@example.org now", "en"), (7, "too short", "en"), (8, "the same " * 60, "en"), (None, own(9), None), (10, None, "en")]
     folder = cases.folder(spark, tmp_path, source, [(1, 1, 0)])
     docs, seen = spark.read.parquet(f"{folder}/documents.parquet"), []
     columns = docs.columns

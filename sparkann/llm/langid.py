@@ -18,8 +18,6 @@ they stand there; an empty table gives an empty result. Columns other than doc_i
 from __future__ import annotations
 
 import re
-import zlib
-from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -31,7 +29,8 @@ from pyspark.sql import functions as F
 from sparkann.llm.common import documents
 
 PER_LANGUAGE = 4000
-BUCKETS, GRAMS, PENALTY = 1 << 15, 4, 6.0
+BITS, GRAMS, PENALTY = 15, 4, 6.0
+BUCKETS = 1 << BITS
 #: Words remembered with their scores by each task.
 REMEMBERED = 200_000
 #: First code points of blocks, from Unicode; a block lasts to the next entry. Fixed values.
@@ -44,6 +43,9 @@ SCRIPTS = (
 )
 STARTS = [a for a, _ in SCRIPTS]
 NAMES = sorted({n for _, n in SCRIPTS})
+NUMBERS = np.array([NAMES.index(n) for _, n in SCRIPTS])
+#: Words scored at a time, and multipliers of the n-gram hash.
+CHUNK, FACTOR, MIX = 20_000, np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 #: A language is a candidate for a script that at least this share of its training words has.
 LEAST_SHARE = 0.01
 LETTER = re.compile(r"[^\W\d_]")
@@ -54,18 +56,32 @@ def letters_of(word: str) -> str:
     return word if word.isalpha() else "".join(LETTER.findall(word))
 
 
-def script_of(letters: str) -> int:
-    """Number of the script that most letters have."""
-    if letters.isascii():
-        return NAMES.index("latin")
-    found = Counter(SCRIPTS[bisect_right(STARTS, ord(c)) - 1][1] for c in letters)
-    return NAMES.index(max(sorted(found), key=found.__getitem__))
+def scripts_of(words: list[str]) -> np.ndarray:
+    """Number of the script that most letters of each word have; ties to the first name."""
+    out = np.full(len(words), NAMES.index("latin"))
+    other = [i for i, w in enumerate(words) if not w.isascii()]
+    if other:
+        points = np.frombuffer("".join(words[i] for i in other).encode("utf-32-le"), np.uint32)
+        owner = np.repeat(np.arange(len(other)), [len(words[i]) for i in other])
+        script = NUMBERS[np.searchsorted(STARTS, points, side="right") - 1]
+        out[other] = np.bincount(owner * len(NAMES) + script, minlength=len(other) * len(NAMES)).reshape(-1, len(NAMES)).argmax(axis=1)
+    return out
 
 
-def buckets_of(letters: str) -> list[int]:
-    """Hashed n-grams of one word, in lower case."""
-    word = f" {letters.lower()} "
-    return [zlib.crc32(word[i : i + n].encode()) % BUCKETS for n in range(1, GRAMS + 1) for i in range(len(word) - n + 1) if word[i : i + n] != " "]
+def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Word and bucket of each hashed n-gram of many words (letters only, any case) at once."""
+    held = [f" {w.lower()} " for w in words]
+    points = np.frombuffer("".join(held).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, held), np.int64, len(held))
+    owner = np.repeat(np.arange(len(held)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(points))  # characters to the word's end, this one included
+    hashed, owners, buckets = np.zeros(len(points), np.uint64), [], []
+    for n in range(1, GRAMS + 1):
+        hashed[: len(points) - n + 1] = hashed[: len(points) - n + 1] * FACTOR + points[n - 1 :]
+        at = np.flatnonzero((left >= n) & (points != 32) if n == 1 else left >= n)
+        owners.append(owner[at])
+        buckets.append((((hashed[at] + np.uint64(n)) * MIX) >> np.uint64(64 - BITS)).astype(np.int64))
+    return np.concatenate(owners), np.concatenate(buckets)
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,11 +91,13 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def fold() -> None:
         for lang, found in words.items():
-            total = totals.setdefault(lang, np.zeros(BUCKETS + len(NAMES), np.int64))
-            for word, n in found.items():
-                if letters := letters_of(word):
-                    np.add.at(total, buckets_of(letters), n)
-                    total[BUCKETS + script_of(letters)] += n
+            total = totals.setdefault(lang, np.zeros(BUCKETS + len(NAMES)))
+            held = [(x, n) for w, n in found.items() if (x := letters_of(w))]
+            for at in range(0, len(held), CHUNK):
+                own, times = [x for x, _ in held[at : at + CHUNK]], np.array([n for _, n in held[at : at + CHUNK]], float)
+                owner, bucket = grams_of(own)
+                total[:BUCKETS] += np.bincount(bucket, times[owner], BUCKETS)
+                total[BUCKETS:] += np.bincount(scripts_of(own), times, len(NAMES))
         words.clear()
 
     for batch in batches:
@@ -90,7 +108,7 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fold()
     for lang, total in totals.items():
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(total[at])], ["lang", "bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], ["lang", "bucket", "n"])
 
 
 class Model:
@@ -130,22 +148,31 @@ class Scorer:
         self.table = np.zeros((REMEMBERED, len(model.languages)), np.float32)
         self.letters = np.zeros(REMEMBERED, np.int32)
 
-    def _new(self, word: str) -> int:
-        i = self.index[word] = len(self.index)
-        if i >= len(self.table):  # a single text may have more words than are remembered
+    def _learn(self, fresh: list[str]) -> None:
+        """Score words not seen so far, many at once."""
+        base = len(self.index)
+        while base + len(fresh) > len(self.table):  # a batch may have more words than are remembered
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        letters = letters_of(word)
-        self.letters[i] = len(letters)
-        self.table[i] = self.model.scores[buckets_of(letters)].sum(axis=0) + self.model.barred[script_of(letters)] if letters else 0
-        return i
+        for at in range(0, len(fresh), CHUNK):
+            own = [letters_of(w) for w in fresh[at : at + CHUNK]]
+            rows = slice(base + at, base + at + len(own))
+            self.letters[rows] = [len(w) for w in own]
+            owner, bucket = grams_of(own)
+            scores = self.model.scores[bucket]
+            sums = np.stack([np.bincount(owner, scores[:, i], len(own)) for i in range(scores.shape[1])], axis=1)
+            sums += self.model.barred[scripts_of(own)]
+            sums[self.letters[rows] == 0] = 0  # a word without letters says nothing
+            self.table[rows] = sums
+        self.index.update(zip(fresh, range(base, base + len(fresh)), strict=True))
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Scores (word, language) and letters of each word."""
         if len(self.index) >= REMEMBERED:
             self.index.clear()
-        get = self.index.get
-        at = np.array([self._new(w) if (i := get(w)) is None else i for w in words], np.int64)
+        known = self.index
+        self._learn(list({w: None for w in words if w not in known}))
+        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         return self.table[at], self.letters[at]
 
 

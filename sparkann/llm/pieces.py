@@ -23,6 +23,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ MARK = "▁"
 #: Segments remembered by each task, and the longest that is.
 REMEMBERED, LONGEST = 200_000, 48
 #: Multipliers of the keyed hash (64-bit odd numbers, as in splitmix64).
+#: Segments whose agendas advance together, the longest of them, and the order of a merge that there isn't.
+ROWS, WIDEST, NONE = 4096, 48, np.iinfo(np.int32).max
 MIX, STEP, TURN, MASK = 0xBF58476D1CE4E5B9, 0x9E3779B97F4A7C15, 0x94D049BB133111EB, (1 << 64) - 1
 
 
@@ -63,6 +66,117 @@ class Pieces:
             raise ValueError(f"{path}: pieces cross words; texts cannot be split there")
         self.segments = re.compile(r"\n| +[^ \n]*|[^ \n]+").findall
         self.found: dict[tuple[str, int], list[int]] = {}
+        self._learn_pairs()
+
+    def _learn_pairs(self) -> None:
+        """A table of merges for whole batches. Symbols are numbers: pieces, then characters that only stand within pieces, then
+        one for any other. A pair of symbols is looked up by open addressing: few steps, as most places are free."""
+        n = len(self.bytes_of)
+        inner = sorted({c for x in self.id_of for c in x} - set(self.id_of))
+        self.symbol = self.id_of | {c: n + i for i, c in enumerate(inner)}
+        self.other = n + len(inner)
+        by_rank = [self.id_of[t] for _, t in sorted((r, t) for t, r in self.rank.items())]
+        order = {i: k for k, i in enumerate(by_rank)}
+        self.by_order = np.array(by_rank, np.int64)
+        self.turns = np.array([len(t) if t is not None else 0 for t in self._texts()], np.uint64) * np.uint64(TURN)
+        pairs = {}
+        for text, i in self.id_of.items():
+            for cut in range(1, len(text)):
+                a, b = self.symbol.get(text[:cut]), self.symbol.get(text[cut:])
+                if a is not None and b is not None:
+                    pairs[a << 20 | b] = order[i]
+        size = 1 << (4 * len(pairs)).bit_length()
+        self.pair_keys, self.pair_orders, self.pair_mask = np.full(size, -1, np.int64), np.full(size, NONE, np.int32), size - 1
+        for key, value in pairs.items():
+            at = int(self._slot(np.array([key]))[0])
+            while self.pair_keys[at] >= 0:
+                at = at + 1 & self.pair_mask
+            self.pair_keys[at], self.pair_orders[at] = key, value
+
+    def _texts(self) -> list[str | None]:
+        out: list[str | None] = [None] * len(self.bytes_of)
+        for t, i in self.id_of.items():
+            out[i] = t
+        return out
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(STEP)) >> np.uint64(40)).astype(np.int64) & self.pair_mask
+
+    def _orders(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Order of merging of pairs of symbols; NONE where they don't merge."""
+        keys = a << 20 | b
+        at = self._slot(keys)
+        held = self.pair_keys[at]
+        out = self.pair_orders[at]  # NONE where the place is free
+        wrong = np.flatnonzero((held != keys) & (held >= 0))
+        while len(wrong):
+            at[wrong] = at[wrong] + 1 & self.pair_mask
+            held = self.pair_keys[at[wrong]]
+            out[wrong] = self.pair_orders[at[wrong]]
+            wrong = wrong[(held != keys[wrong]) & (held >= 0)]
+        return out
+
+    def segment_many(self, texts: list[str], keys: list[int], rate: float) -> list[list[int]]:
+        """Ids of many segments, as segment() gives them: their agendas advance together, one candidate each at a time."""
+        out: list[list[int] | None] = [None] * len(texts)
+        order = sorted((i for i, t in enumerate(texts) if len(t) <= WIDEST), key=lambda i: len(texts[i]))
+        for i, t in enumerate(texts):
+            if len(t) > WIDEST:
+                out[i] = self.segment(t, keys[i], rate)
+        at = 0
+        while at < len(order):  # segments of like lengths together
+            width = max(2, len(texts[order[min(at + ROWS, len(order)) - 1]]))
+            while len(texts[order[at]]) * 2 < width:
+                width = max(2, width // 2)
+            own = [i for i in order[at : at + ROWS] if len(texts[i]) <= width]
+            for i, ids in zip(own, self._advance([texts[i] for i in own], np.array([keys[i] for i in own], np.uint64), rate, width), strict=True):
+                out[i] = ids
+            at += len(own)
+        return out
+
+    def _advance(self, texts: list[str], keys: np.ndarray, rate: float, width: int) -> list[list[int]]:
+        """One block of segments. Symbols stay at the place of their first character; before and after name those alive, in flat
+        places, where the last of a row is a border."""
+        n, symbol, wide = len(texts), self.symbol.get, width + 1
+        sizes = np.fromiter(map(len, texts), np.int64, n)
+        symbols = np.full(n * wide, -1, np.int64)
+        at = np.repeat(np.arange(n) * wide - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        symbols[at] = [symbol(c, self.other) for c in "".join(texts)]
+        after, before = np.arange(1, n * wide + 1), np.arange(-1, n * wide - 1)
+        agenda = np.full(n * wide, NONE, np.int32)  # order of each symbol's merge with the next
+        pair = at[symbols[np.minimum(at + 1, n * wide - 1)] >= 0]
+        agenda[pair] = self._orders(symbols[pair], symbols[pair + 1])
+        limit, rows, table = np.uint64(int(rate * (1 << 32))), np.arange(n), agenda.reshape(n, wide)
+        while len(rows):
+            best = table[rows].argmin(axis=1)  # the leftmost among equals
+            i = rows * wide + best
+            first = agenda[i]
+            alive = first < NONE
+            rows, best, i, first = rows[alive], best[alive], i[alive], first[alive]
+            made = self.by_order[first]
+            if limit:
+                hashed = keys[rows] ^ (best.astype(np.uint64) * np.uint64(STEP) + self.turns[made])
+                skipped = ((hashed * np.uint64(MIX)) >> np.uint64(32)) < limit
+                agenda[i[skipped]] = NONE
+                i, made = i[~skipped], made[~skipped]
+            j = after[i]
+            k = after[j]
+            symbols[i], symbols[j], agenda[j], after[i] = made, -1, NONE, k
+            last = symbols[np.minimum(k, n * wide - 1)] < 0
+            agenda[i[last]] = NONE
+            i_, k_, made_ = i[~last], k[~last], made[~last]
+            before[k_] = i_
+            agenda[i_] = self._orders(made_, symbols[k_])
+            h = before[i]
+            there = (h >= 0) & (symbols[h] >= 0)
+            h, made = h[there], made[there]
+            agenda[h] = self._orders(symbols[h], made)
+        held = symbols.reshape(n, wide)
+        if (held >= len(self.bytes_of)).any():
+            return [[y for p, x in enumerate(row) if x >= 0 for y in (self._out(t[p]) if x >= len(self.bytes_of) else [x])] for t, row in zip(texts, held.tolist(), strict=True)]
+        kept = held >= 0
+        flat, ends = held[kept].tolist(), np.cumsum(kept.sum(axis=1)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def _out(self, symbol: str) -> list[int]:
         i = self.id_of.get(symbol)
@@ -109,27 +223,33 @@ class Pieces:
             i = after[i]
         return out
 
-    def encode(self, text: str, doc_id: int | None = 0, rate: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> list[int]:
+    def parts(self, text: str, doc_id: int | None, rate: float, seed: int, variants: int) -> list[tuple[str, int]]:
+        """Segments of a text with their variants."""
         if not text:
             return []
         parts = self.segments(" " + text)
         base = xxhash.xxh64_intdigest(f"{seed}:{doc_id or 0}".encode())
         places = np.arange(len(parts), dtype=np.uint64) * np.uint64(STEP) + np.uint64(base)
         variant = (((places ^ (places >> np.uint64(31))) * np.uint64(MIX)) >> np.uint64(40)) % np.uint64(variants if rate else 1)
+        return list(zip(parts, variant.tolist(), strict=True))
+
+    def encode_many(self, texts: list[str], doc_ids: list[int | None], rate: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> list[list[int]]:
         if len(self.found) > REMEMBERED:
             self.found.clear()
-        found, out = self.found, []
-        for part in zip(parts, variant.tolist(), strict=True):
-            ids = found.get(part)
-            if ids is None:
-                word, v = part
-                key = xxhash.xxh64_intdigest(word.encode(), (seed * 0x10001 + v) & MASK) if rate else 0
-                ids = self.segment(word, key, rate)
-                if len(word) <= LONGEST:
-                    found[part] = ids
-            out += ids
+        found = self.found
+        parts = [self.parts(t, d, rate, seed, variants) for t, d in zip(texts, doc_ids, strict=True)]
+        fresh = list({p: None for own in parts for p in own if p not in found})
+        keys = [xxhash.xxh64_intdigest(w.encode(), (seed * 0x10001 + v) & MASK) if rate else 0 for w, v in fresh]
+        found.update(zip(fresh, self.segment_many([w for w, _ in fresh], keys, rate), strict=True))
+        out = [list(chain.from_iterable(map(found.__getitem__, own))) for own in parts]
+        for p in fresh:
+            if len(p[0]) > LONGEST:
+                del found[p]
         return out
 
+    def encode(self, text: str, doc_id: int | None = 0, rate: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> list[int]:
+        return self.encode_many([text], [doc_id], rate, seed, variants)[0]
+
     def decode(self, ids: list[int]) -> str:
         held = self.bytes_of
         return b"".join([held[i] for i in ids]).decode()[1:] if len(ids) else ""
@@ -141,7 +261,7 @@ def encoding(path: str, rate: float, seed: int, variants: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [pieces.encode(x or "", d, rate, seed, variants) for d, x in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True)]
+                ids = pieces.encode_many([x or "" for x in part["text"].to_pylist()], part["doc_id"].to_pylist(), rate, seed, variants)
                 offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 values = np.fromiter((i for x in ids for i in x), np.int32, int(offsets[-1]))
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["md5"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["doc_id", "md5", "ids"])

@@ -55,6 +55,14 @@ def test_dropout_against_brute_force(held):
         assert held.segment(word, key, 0.3) == merged_by_brute_force(held, word, key, 0.3)
 
 
+def test_batches_give_what_single_segments_give(held):
+    rnd = random.Random(5)
+    words = [" " * rnd.randint(0, 3) + "".join(rnd.choice("theroningsatly 日é▁") for _ in range(rnd.randint(1, 60))) for _ in range(2000)]
+    keys = [rnd.getrandbits(64) for _ in words]
+    for rate in (0.0, 0.3):
+        assert held.segment_many(words, keys, rate) == [held.segment(w, k, rate) for w, k in zip(words, keys)]
+
+
 def test_seeds_vary_and_repeat(held):
     t = cases.texts(3)[0][1]
     assert held.encode(t, 1, 0.2, seed=1) == held.encode(t, 1, 0.2, seed=1)

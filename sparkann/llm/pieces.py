@@ -75,23 +75,22 @@ class Pieces:
         inner = sorted({c for x in self.id_of for c in x} - set(self.id_of))
         self.symbol = self.id_of | {c: n + i for i, c in enumerate(inner)}
         self.other = n + len(inner)
-        by_rank = [self.id_of[t] for _, t in sorted((r, t) for t, r in self.rank.items())]
-        order = {i: k for k, i in enumerate(by_rank)}
-        self.by_order = np.array(by_rank, np.int64)
+        order = {r: k for k, r in enumerate(sorted(set(self.rank.values())))}  # pieces of one score come up by place
         self.turns = np.array([len(t) if t is not None else 0 for t in self._texts()], np.uint64) * np.uint64(TURN)
         pairs = {}
         for text, i in self.id_of.items():
             for cut in range(1, len(text)):
                 a, b = self.symbol.get(text[:cut]), self.symbol.get(text[cut:])
                 if a is not None and b is not None:
-                    pairs[a << 20 | b] = order[i]
+                    pairs[a << 20 | b] = order[self.rank[text]], i
         size = 1 << (4 * len(pairs)).bit_length()
         self.pair_keys, self.pair_orders, self.pair_mask = np.full(size, -1, np.int64), np.full(size, NONE, np.int32), size - 1
-        for key, value in pairs.items():
+        self.pair_made = np.zeros(size, np.int32)
+        for key, (value, made) in pairs.items():
             at = int(self._slot(np.array([key]))[0])
             while self.pair_keys[at] >= 0:
                 at = at + 1 & self.pair_mask
-            self.pair_keys[at], self.pair_orders[at] = key, value
+            self.pair_keys[at], self.pair_orders[at], self.pair_made[at] = key, value, made
 
     def _texts(self) -> list[str | None]:
         out: list[str | None] = [None] * len(self.bytes_of)
@@ -102,19 +101,17 @@ class Pieces:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(STEP)) >> np.uint64(40)).astype(np.int64) & self.pair_mask
 
-    def _orders(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Order of merging of pairs of symbols; NONE where they don't merge."""
+    def _merges(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Order of merging of pairs of symbols, NONE where they don't merge, and the piece that they make."""
         keys = a << 20 | b
         at = self._slot(keys)
         held = self.pair_keys[at]
-        out = self.pair_orders[at]  # NONE where the place is free
         wrong = np.flatnonzero((held != keys) & (held >= 0))
         while len(wrong):
             at[wrong] = at[wrong] + 1 & self.pair_mask
             held = self.pair_keys[at[wrong]]
-            out[wrong] = self.pair_orders[at[wrong]]
             wrong = wrong[(held != keys[wrong]) & (held >= 0)]
-        return out
+        return self.pair_orders[at], self.pair_made[at]  # NONE where the search ended at a free place
 
     def segment_many(self, texts: list[str], keys: list[int], rate: float) -> list[list[int]]:
         """Ids of many segments, as segment() gives them: their agendas advance together, one candidate each at a time."""
@@ -143,17 +140,16 @@ class Pieces:
         at = np.repeat(np.arange(n) * wide - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
         symbols[at] = [symbol(c, self.other) for c in "".join(texts)]
         after, before = np.arange(1, n * wide + 1), np.arange(-1, n * wide - 1)
-        agenda = np.full(n * wide, NONE, np.int32)  # order of each symbol's merge with the next
+        agenda, makes = np.full(n * wide, NONE, np.int32), np.zeros(n * wide, np.int32)  # of each symbol's merge with the next
         pair = at[symbols[np.minimum(at + 1, n * wide - 1)] >= 0]
-        agenda[pair] = self._orders(symbols[pair], symbols[pair + 1])
+        agenda[pair], makes[pair] = self._merges(symbols[pair], symbols[pair + 1])
         limit, rows, table = np.uint64(int(rate * (1 << 32))), np.arange(n), agenda.reshape(n, wide)
         while len(rows):
             best = table[rows].argmin(axis=1)  # the leftmost among equals
             i = rows * wide + best
-            first = agenda[i]
-            alive = first < NONE
-            rows, best, i, first = rows[alive], best[alive], i[alive], first[alive]
-            made = self.by_order[first]
+            alive = agenda[i] < NONE
+            rows, best, i = rows[alive], best[alive], i[alive]
+            made = makes[i].astype(np.int64)
             if limit:
                 hashed = keys[rows] ^ (best.astype(np.uint64) * np.uint64(STEP) + self.turns[made])
                 skipped = ((hashed * np.uint64(MIX)) >> np.uint64(32)) < limit
@@ -166,11 +162,11 @@ class Pieces:
             agenda[i[last]] = NONE
             i_, k_, made_ = i[~last], k[~last], made[~last]
             before[k_] = i_
-            agenda[i_] = self._orders(made_, symbols[k_])
+            agenda[i_], makes[i_] = self._merges(made_, symbols[k_])
             h = before[i]
             there = (h >= 0) & (symbols[h] >= 0)
             h, made = h[there], made[there]
-            agenda[h] = self._orders(symbols[h], made)
+            agenda[h], makes[h] = self._merges(symbols[h], made)
         held = symbols.reshape(n, wide)
         if (held >= len(self.bytes_of)).any():
             return [[y for p, x in enumerate(row) if x >= 0 for y in (self._out(t[p]) if x >= len(self.bytes_of) else [x])] for t, row in zip(texts, held.tolist(), strict=True)]

@@ -460,4 +460,17 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_suffix_dedup": op3_suffix_dedup}
-SQL: dict[str, str] = {}
+SQL = {
+    "op3_suffix_dedup": """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+h AS (SELECT rid, doc_id, octet_length(b)::BIGINT AS n, hex(b) AS x, b FROM d),
+w AS (SELECT rid, s, md5(array_slice(b, s + 1, s + 400)) AS k FROM (SELECT rid, b, unnest(range(0, n - 399)) AS s FROM h WHERE n >= 400)),
+r AS (SELECT rid, s FROM w JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+i AS (SELECT rid, s, sum(fresh) OVER (PARTITION BY rid ORDER BY s) AS run FROM (SELECT rid, s, CASE WHEN s <= lag(s) OVER (PARTITION BY rid ORDER BY s) + 400 THEN 0 ELSE 1 END AS fresh FROM r)),
+p AS (SELECT rid, run, min(s) AS a, max(s) + 400 AS z FROM i GROUP BY rid, run),
+g AS (SELECT rid, a, z, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM p),
+k AS (SELECT g.rid, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(x, (2 * before + 1)::BIGINT, (2 * (a - before))::BIGINT), '' ORDER BY a) AS head, max(z) AS last FROM g JOIN h USING (rid) GROUP BY g.rid)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN k.rid IS NULL THEN x ELSE head || substr(x, (2 * last + 1)::BIGINT) END)) AS kept_sha256
+FROM h LEFT JOIN k USING (rid)"""
+}

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import duckdb
 import pytest
 
 from sparkann.llm import repeats
@@ -77,6 +78,16 @@ def test_query_on_documents_and_odd_cases(spark, tmp_path):
     assert sorted(map(tuple, got), key=str) == sorted(((d, *w) for (d, _, _), w in zip(source, want)), key=str)
 
 
+def test_sql_agrees(spark, tmp_path):
+    source = cases.texts(60) + [(5000 + i, "x" * 399 + "é" * i, "en") for i in range(3)] + [(5010, None, None), (5011, "a" * 2000, "en")]
+    folder = cases.folder(spark, tmp_path, source)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+    want = con.sql(repeats.SQL["op3_suffix_dedup"]).fetchall()
+    got = repeats.op3_suffix_dedup(spark, folder).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
+
+
 def test_cut_documents_keep_their_columns(spark):
     passage = "x".join(str(i) for i in range(300))
     docs = cases.frame(spark, [(1, "aé" + passage, "en"), (2, "bb" + passage, "en"), (3, None, None), (4, "short", "en")])

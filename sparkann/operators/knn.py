@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 from itertools import batched
 
 import numpy as np
@@ -10,8 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkann.sources.scratch import scratch_dir
+
 #: Queries that one pass over the base answers; their vectors are what a task holds besides its batch.
 BLOCK = 4096
+#: Blocks that one plan holds.
+PASSES = 16
 OUT = "qid long, node_id long, dist double"
 
 
@@ -81,15 +87,20 @@ def exact_topk(queries: DataFrame, base: DataFrame, k: int = 10, metric: str = "
     """queries: qid, vec. base: node_id, vec. Returns qid, rank, node_id, dist. Rows without id or vector take no part."""
     held = base.select("node_id", "vec").where("node_id is not null and vec is not null and not exists(vec, x -> x is null)")
     asked = queries.select("qid", "vec").where("qid is not null and vec is not null and not exists(vec, x -> x is null)")
-    found = None
+    parts: list[DataFrame] = []
+    done, spark = None, queries.sparkSession
     for rows in batched(asked.toLocalIterator(), block):
+        if len(parts) == PASSES:  # results of many blocks are written as they come, so that plans stay small
+            done = done or f"{scratch_dir(spark)}/topk-{uuid.uuid4().hex}"
+            top(reduce(DataFrame.unionAll, parts), k).write.mode("append").parquet(done)
+            parts = []
         vecs = as_matrix(pa.array([list(map(float, r["vec"])) for r in rows]))
         ids = np.array([r["qid"] for r in rows], np.int64)
-        part = held.mapInArrow(kernel(ids, vecs, k, metric, exclude_self), OUT)
-        found = part if found is None else found.unionAll(part)
-    if found is None:
-        return queries.sparkSession.createDataFrame([], "qid long, rank int, node_id long, dist double")
-    return top(found, k)
+        parts.append(held.mapInArrow(kernel(ids, vecs, k, metric, exclude_self), OUT))
+    if not parts:
+        return spark.createDataFrame([], "qid long, rank int, node_id long, dist double")
+    found = top(reduce(DataFrame.unionAll, parts), k)
+    return found if done is None else found.unionAll(spark.read.schema(found.schema).parquet(done))
 
 
 def knn_graph(vectors: DataFrame, m: int, metric: str = "l2") -> DataFrame:

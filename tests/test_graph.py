@@ -26,7 +26,7 @@ def test_exact_topk(spark, metric):
     v = vectors(spark).repartition(5)
     rows = {r.node_id: np.array(r.vec) for r in v.collect()}
     q = v.where("node_id < 20").select(F.col("node_id").alias("qid"), "vec")
-    for block in (4096, 7):
+    for block in (4096, 7, 1):  # one plan, several blocks, more blocks than one plan holds
         got = {tuple(r) for r in knn.exact_topk(q, v, 5, metric, block=block).collect()}
         assert got == brute(rows, range(20), 5, metric)
 

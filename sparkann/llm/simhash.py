@@ -23,8 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sparkann.llm.common import documents, shuffle_partitions, text_bytes, unpacked_rows, whole_row, with_row, written
+from sparkann.llm.common import documents, key128, shuffle_partitions, text_bytes, unpacked_rows, whole_row, written
 from sparkann.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -59,14 +60,14 @@ def fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
             prints = np.array([fingerprint(x) for x in text_bytes(part["text"])], np.uint64).view(np.int64)
-            carried = [part["row"]] if "row" in part.schema.names else []
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(prints), *carried], ["doc_id", "fp", "row"][: 2 + len(carried)])
+            carried = part.schema.names[2:]
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(prints), *(part[c] for c in carried)], ["doc_id", "fp", *carried])
 
 
-def fingerprints(docs: DataFrame, carry: bool = False) -> DataFrame:
-    """doc_id, fp (the bits as a signed long); with carry, all columns in row."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[whole_row(docs)] * carry)
-    return slim.mapInArrow(fingerprinted, with_row("doc_id long, fp long", slim) if carry else "doc_id long, fp long")
+def fingerprints(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, fp (the bits as a signed long), and columns that are carried along."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
+    return slim.mapInArrow(fingerprinted, T.StructType([*T.StructType.fromDDL("doc_id long, fp long").fields, *slim.schema.fields[2:]]))
 
 
 def flips() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,12 +152,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The row with the least doc_id of each component, with all its columns; of repeated rows, one."""
-    table = written(fingerprints(docs, carry=True).withColumn("nth", F.monotonically_increasing_id()), "fingerprinted")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "nth")).alias("first")
-    nodes = written(table.groupBy("fp").agg(first), "fingerprint-classes")
-    chosen = written(roots_of(nodes).groupBy("root").agg(F.min("first").alias("first")).select("first.nth"), "chosen")
-    return unpacked_rows(table.join(chosen, "nth", "left_semi"))
+    """The row with the least doc_id of each component, with all its columns; of rows that repeat doc_id and text, one. Rows are
+    chosen by doc_id and a digest of the text; texts move once, to meet the choice, and are not written."""
+    key = key128(F.col("text").cast("string")).alias("key")
+    rows = written(fingerprints(docs.select("doc_id", "text", F.struct(key).alias("carried")), "carried").select("doc_id", "fp", "carried.key"), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "key")).alias("first")
+    nodes = written(rows.groupBy("fp").agg(first), "fingerprint-classes")
+    chosen = written(roots_of(nodes).groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.key"), "chosen")
+    counts = rows.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").alias("n")
+    several = written(chosen.alias("c").join(counts, F.expr("c.doc_id <=> n.doc_id and c.key = n.key"), "left_semi"), "chosen-with-copies")
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key, whole_row(docs)).alias("d")
+    # A merge join at any size: the choice grows with the documents.
+    kept = held.join(chosen.hint("merge").alias("c"), F.expr("d.doc_id <=> c.doc_id and d.key = c.key"), "left_semi")
+    if several.limit(1).count():
+        same = F.expr("d.doc_id <=> s.doc_id and d.key = s.key")
+        copies = held.join(several.alias("s"), same, "left_semi").groupBy("doc_id", "key").agg(F.first("row").alias("row"))
+        kept = kept.alias("d").join(several.alias("s"), same, "left_anti").select("row").unionByName(copies.select("row"))
+    return unpacked_rows(kept.select("row"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

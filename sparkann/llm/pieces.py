@@ -234,7 +234,7 @@ class Pieces:
             self.found.clear()
         found = self.found
         parts = [self.parts(t, d, rate, seed, variants) for t, d in zip(texts, doc_ids, strict=True)]
-        fresh = list({p: None for own in parts for p in own if p not in found})
+        fresh = list(set(chain.from_iterable(parts)).difference(found))  # in any order: ids depend on nothing else
         keys = [xxhash.xxh64_intdigest(w.encode(), (seed * 0x10001 + v) & MASK) if rate else 0 for w, v in fresh]
         found.update(zip(fresh, self.segment_many([w for w, _ in fresh], keys, rate), strict=True))
         out = [list(chain.from_iterable(map(found.__getitem__, own))) for own in parts]

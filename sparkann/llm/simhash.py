@@ -158,7 +158,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = written(fingerprints(docs.select("doc_id", "text", F.struct(key).alias("carried")), "carried").select("doc_id", "fp", "carried.key"), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "key")).alias("first")
     nodes = written(rows.groupBy("fp").agg(first), "fingerprint-classes")
-    chosen = written(roots_of(nodes).groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.key"), "chosen")
+    return chosen_rows(docs, rows, roots_of(nodes))
+
+
+def chosen_rows(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The first row of each root. rows: doc_id and key of all docs. nodes: root, first (absent, doc_id, key)."""
+    key = key128(F.col("text").cast("string")).alias("key")
+    chosen = written(nodes.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.key"), "chosen")
     counts = rows.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").alias("n")
     several = written(chosen.alias("c").join(counts, F.expr("c.doc_id <=> n.doc_id and c.key = n.key"), "left_semi"), "chosen-with-copies")
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key, whole_row(docs)).alias("d")

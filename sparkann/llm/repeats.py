@@ -18,6 +18,9 @@ place before it in the text, less the distance. So one comparison for each run g
 streamed over the text, and all places with LENGTH or more are marked, as are their partners. Suffixes that are unsampled
 are never compared. Equal segments in two places are marked whole.
 
+Passages of so many words or more, however short, are found by the same index over texts in which each word stands as WORD
+bytes of its hash: there a number of words is a number of bytes. What bounds no word is left out of such spans.
+
 Equal texts are handled once; a text of LENGTH bytes or more that stands in two rows repeats as a whole.
 
 Defined results: null text counts as empty; texts shorter than LENGTH lose nothing; repeated rows are further places; a
@@ -27,17 +30,21 @@ null doc_id stays null; an empty table gives an empty result. Columns other than
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkann.llm.common import documents, key128, shuffle_partitions, text_bytes, unpacked_rows, whole_row, with_row, written
 
 LENGTH, ANCHOR, HOT = 400, 200, 1000
+#: Bytes that stand for a word.
+WORD = 6
 #: Bytes scanned at a time, and bytes of candidates indexed at a time.
 SCAN, CHUNK = 1 << 20, 2 << 20
 #: Bytes of candidates that one task gathers, about.
@@ -153,8 +160,8 @@ def windows(length: int):
         names = ("t1", "t2", "start", "anchor", "h1", "h2")
         for batch in batches:
             rows: list[tuple] = []
-            for t1, t2, text, listed in zip(*(batch[x].to_pylist() for x in ("t1", "t2", "text", "segments")), strict=True):
-                data = np.frombuffer(text.encode(), np.uint8)
+            for t1, t2, text, listed in zip(*(batch[x].to_pylist() for x in ("t1", "t2")), text_bytes(batch["text"]), batch["segments"].to_pylist(), strict=True):
+                data = np.frombuffer(text, np.uint8)
                 for s in listed:
                     for at in range(s["start"], s["start"] + s["n"], SCAN // 2):
                         n = min(SCAN // 2, s["start"] + s["n"] - at)
@@ -175,8 +182,7 @@ def content_keys(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cut_out(batch: pa.RecordBatch, length: int) -> Iterator[tuple[int, int, int, list[dict], list[bytes]]]:
-    for t1, t2, copies, text, listed in zip(*(batch[x].to_pylist() for x in ("t1", "t2", "copies", "text", "segments")), strict=True):
-        data = text.encode()
+    for t1, t2, copies, data, listed in zip(*(batch[x].to_pylist() for x in ("t1", "t2", "copies")), text_bytes(batch["text"]), batch["segments"].to_pylist(), strict=True):
         listed.sort(key=lambda s: s["start"])
         yield t1, t2, copies, listed, [data[s["start"] : s["start"] + s["n"] + length - 1] for s in listed]
 
@@ -418,27 +424,67 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     return rows, texts.select("t1", "t2", "copies"), kept
 
 
-def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            rows = zip(part["text"].to_pylist(), part["spans"].to_pylist(), strict=True)
-            texts = [x if x is None or not s else without(x.encode(), merged(s)).decode("utf-8", "ignore") for x, s in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), part["row"]], ["text", "row"])
+def coded(words: int):
+    """Texts of so many words or more, as WORD bytes for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = [x.split() for x in text_bytes(part["text"])]
+                part = part.filter(pa.array([len(x) >= words for x in texts], pa.bool_()))
+                codes = [b"".join(xxhash.xxh64_digest(w)[:WORD] for w in x) for x in texts if len(x) >= words]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["t1"], part["t2"], pa.array(codes, pa.binary())], ["doc_id", "t1", "t2", "text"])
+
+    return run
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def word_ranges(data: bytes, spans: list[dict] | None, words: int) -> list[dict]:
+    """Bytes of the whole words under spans of a coded text."""
+    if not spans:
+        return []
+    at = [m.span() for m in re.finditer(rb"\S+", data)]
+    found = ((-(-a // WORD), min(b // WORD, len(at))) for a, b in merged(spans))
+    return [{"a": at[i][0], "b": at[j - 1][1]} for i, j in found if j - i >= words]
+
+
+def cut_texts(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = []
+                for x, spans, coded_spans in zip(*(part[c].to_pylist() for c in ("text", "spans", "word_spans")), strict=True):
+                    if x is not None and (spans or coded_spans):
+                        data = x.encode()
+                        x = without(data, merged([*(spans or []), *word_ranges(data, coded_spans, words)])).decode("utf-8", "ignore")
+                    texts.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), part["row"]], ["text", "row"])
+
+    return run
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
     """docs with repeated spans cut out of text, and with n_chars counted anew if it is there; a character that loses some of
-    its bytes goes, a null text stays null."""
+    its bytes goes, a null text stays null. Spans are strings of length bytes and, unless 0, passages of so many words."""
     keyed = with_keys(docs)
     texts = written(keyed.groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least")), "distinct-texts")
-    _, spans = repeats(keyed, texts, length)
     whole = texts.where("copies > 1").select("t1", "t2", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(MASK >> 1).alias("b"))).alias("spans"))
-    spans = written(spans.join(whole, ["t1", "t2"], "left_anti").unionByName(whole), "spans")
-    found = with_keys(docs, whole_row(docs)).drop("text").join(spans, ["t1", "t2"], "left").withColumn("text", F.col("row")["text"].cast("string"))
+
+    def found_in(given: DataFrame, *sizes: int) -> DataFrame:
+        _, spans = repeats(given, texts, *sizes)
+        return written(spans.join(whole, ["t1", "t2"], "left_anti").unionByName(whole), "spans")
+
+    found = with_keys(docs, whole_row(docs)).drop("text").join(found_in(keyed, length), ["t1", "t2"], "left")
+    if words:
+        in_words = found_in(keyed.mapInArrow(coded(words), "doc_id long, t1 long, t2 long, text binary"), words * WORD, words // 2 * WORD)
+        found = found.join(in_words.withColumnRenamed("spans", "word_spans"), ["t1", "t2"], "left")
+    else:
+        found = found.withColumn("word_spans", F.lit(None).cast("array<struct<a:long,b:long>>"))
+    found = found.withColumn("text", F.col("row")["text"].cast("string"))
     whole_short = F.octet_length("text") < length  # copies of a short text repeat no long string
-    found = found.withColumn("spans", F.when(~whole_short, F.col("spans"))).select("row", "text", "spans")
-    cut = found.mapInArrow(cut_texts, with_row("text string", found))
+    found = found.withColumn("spans", F.when(~whole_short, F.col("spans"))).select("row", "text", "spans", "word_spans")
+    cut = found.mapInArrow(cut_texts(words), with_row("text string", found))
     return unpacked_rows(cut, text=F.col("text"), n_chars=F.length("text").cast("long"))
 
 

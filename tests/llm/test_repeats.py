@@ -5,6 +5,7 @@ from collections import Counter
 import duckdb
 import pytest
 
+import corpus_pipeline
 from sparkann.llm import repeats
 from tests.llm import cases
 
@@ -96,6 +97,28 @@ def test_cut_documents_keep_their_columns(spark):
     assert out[1].n_chars == 2 and out[1].row == "r" and out[1]["a.b"] == 1
 
 
+def brute_words(texts, words):
+    """The words of each text that no repeated run of so many words covers."""
+    split = [t.split() for t in texts]
+    counts = Counter(tuple(d[i : i + words]) for d in split for i in range(len(d) - words + 1))
+    return [[w for k, w in enumerate(d) if not any(counts[tuple(d[i : i + words])] > 1 for i in range(max(0, k - words + 1), min(k, len(d) - words) + 1))] for d in split]
+
+
+def test_pipeline_cuts_passages_of_over_50_words(spark):
+    rnd = random.Random(4)
+    own = lambda n: " ".join(rnd.choice("abcdefgh") + str(rnd.randrange(90)) for _ in range(n))
+    texts = []
+    for n in (50, 51, 52, 55, 60, 61, 100):  # of about 150 to 350 bytes, so none is a long string
+        passage = own(n)
+        texts += [own(70) + " " + passage + " " + own(60), own(30) + "\n" + passage, passage + " " + own(55)]
+    mixed = own(40)  # repeats next to one another, each of them short
+    texts += [own(40) + " " + mixed + " " + own(9), texts[0][:60] + " " + mixed + " x", "é " + own(80), own(10), own(10)]
+    docs = cases.frame(spark, [(i, t, "en") for i, t in enumerate([*texts, None])])
+    got = {r.doc_id: r.text for r in corpus_pipeline.suffix_dedup(spark, docs, "").collect()}
+    assert [got[i].split() for i in range(len(texts))] == brute_words(texts, 51)
+    assert got[len(texts)] is None
+
+
 def test_empty(spark):
     rows, texts, kept = repeats.remove_repeats(cases.frame(spark, []))
     assert rows.collect() == [] and texts.collect() == [] and kept.collect() == []

@@ -2,18 +2,19 @@
 
 A text, with one space before it, is split where no piece of the vocabulary can cross: before each run of spaces that
 follows other characters, and around line feeds. Each segment starts as single characters. An agenda gives the candidate
-merges, best score first, leftmost among equals. Each candidate that comes up is skipped if a keyed hash of seed, variant,
-segment, place and length falls below the dropout rate; a skipped candidate is gone, but its parts can still merge with
+merges, best score first, leftmost among equals. Each candidate that comes up is skipped if a keyed hash of seed, document,
+the segment's place, and place and length in it falls below the dropout rate; a skipped candidate is gone, but its parts can still merge with
 others. Characters outside the vocabulary become byte pieces. Rate 0 gives the plain segmentation.
 
-A segment's variant is a keyed hash of seed, document and place, modulo VARIANTS, so that a word that stands in many places
-is segmented in several ways, and yet segmentations can be remembered: the same seed gives the same ids on any cluster.
+So each occurrence of a word is segmented anew, and the same seed gives the same ids on any cluster. What is remembered is the
+plain segmentation of a segment with the candidates that come up for it: an occurrence that skips none of them is plain, all
+others go through an agenda of their own.
 
 Decoding joins pieces and bytes and drops the first space; it gives back each text exactly, spaces, line feeds, unknown
 characters and the space mark U+2581 included.
 
 Defined results: null and empty texts have no ids and decode to the empty text; repeated rows get equal ids; a null doc_id
-counts as 0 for the variant; an empty table gives an empty result. Columns other than doc_id and text are ignored. Pieces
+counts as 0 for the hash; an empty table gives an empty result. Columns other than doc_id and text are ignored. Pieces
 come from a SentencePiece model file; special pieces are never given out.
 """
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from sparkann.llm.common import documents
 
-DROPOUT, SEED, VARIANTS = 0.1, 20, 4
+DROPOUT, SEED = 0.1, 20
 MARK = "▁"
 #: Segments remembered by each task, and the longest that is.
 REMEMBERED, LONGEST = 200_000, 48
@@ -65,9 +66,15 @@ class Pieces:
         if any(" " in x.lstrip(" ") or "\n" in x for x in multi):
             raise ValueError(f"{path}: pieces cross words; texts cannot be split there")
         self.segments = re.compile(r"\n| +[^ \n]*|[^ \n]+").findall
-        self.found: dict[tuple[str, int], list[int]] = {}
+        self._forget()
         self._learn_pairs()
 
+    def _forget(self) -> None:
+        """Remembered segments: their numbers, plain ids, and the candidates of all, with where those of each begin."""
+        self.number: dict[str, int] = {}
+        self.plain: list[list[int]] = []
+        self.tries, self.begins = np.zeros(0, np.uint64), np.zeros(1, np.int64)
+
     def _learn_pairs(self) -> None:
         """A table of merges for whole batches. Symbols are numbers: pieces, then characters that only stand within pieces, then
         one for any other. A pair of symbols is looked up by open addressing: few steps, as most places are free."""
@@ -113,8 +120,9 @@ class Pieces:
             wrong = wrong[(held != keys[wrong]) & (held >= 0)]
         return self.pair_orders[at], self.pair_made[at]  # NONE where the search ended at a free place
 
-    def segment_many(self, texts: list[str], keys: list[int], rate: float) -> list[list[int]]:
-        """Ids of many segments, as segment() gives them: their agendas advance together, one candidate each at a time."""
+    def segment_many(self, texts: list[str], keys: list[int], rate: float, tried: list[np.ndarray] | None = None) -> list[list[int]]:
+        """Ids of many segments, as segment() gives them: their agendas advance together, one candidate each at a time. tried,
+        for segments up to WIDEST: filled with the hashed part of the candidates that come up for each."""
         out: list[list[int] | None] = [None] * len(texts)
         order = sorted((i for i, t in enumerate(texts) if len(t) <= WIDEST), key=lambda i: len(texts[i]))
         for i, t in enumerate(texts):
@@ -126,12 +134,18 @@ class Pieces:
             while len(texts[order[at]]) * 2 < width:
                 width = max(2, width // 2)
             own = [i for i in order[at : at + ROWS] if len(texts[i]) <= width]
-            for i, ids in zip(own, self._advance([texts[i] for i in own], np.array([keys[i] for i in own], np.uint64), rate, width), strict=True):
+            steps: list[tuple[np.ndarray, np.ndarray]] = []
+            for i, ids in zip(own, self._advance([texts[i] for i in own], np.array([keys[i] for i in own], np.uint64), rate, width, steps if tried is not None else None), strict=True):
                 out[i] = ids
+            if tried is not None:
+                rows, values = (np.concatenate(x) for x in zip(*steps, strict=True))
+                ends = np.cumsum(np.bincount(rows, minlength=len(own)))[:-1]
+                for i, found in zip(own, np.split(values[np.argsort(rows, kind="stable")], ends), strict=True):
+                    tried[i] = found
             at += len(own)
         return out
 
-    def _advance(self, texts: list[str], keys: np.ndarray, rate: float, width: int) -> list[list[int]]:
+    def _advance(self, texts: list[str], keys: np.ndarray, rate: float, width: int, steps: list | None = None) -> list[list[int]]:
         """One block of segments. Symbols stay at the place of their first character; before and after name those alive, in flat
         places, where the last of a row is a border."""
         n, symbol, wide = len(texts), self.symbol.get, width + 1
@@ -150,6 +164,8 @@ class Pieces:
             alive = agenda[i] < NONE
             rows, best, i = rows[alive], best[alive], i[alive]
             made = makes[i].astype(np.int64)
+            if steps is not None:
+                steps.append((rows, best.astype(np.uint64) * np.uint64(STEP) + self.turns[made]))
             if limit:
                 hashed = keys[rows] ^ (best.astype(np.uint64) * np.uint64(STEP) + self.turns[made])
                 skipped = ((hashed * np.uint64(MIX)) >> np.uint64(32)) < limit
@@ -219,45 +235,67 @@ class Pieces:
             i = after[i]
         return out
 
-    def parts(self, text: str, doc_id: int | None, rate: float, seed: int, variants: int) -> list[tuple[str, int]]:
-        """Segments of a text with their variants."""
-        if not text:
-            return []
-        parts = self.segments(" " + text)
+    def parts(self, text: str, doc_id: int | None, seed: int) -> tuple[list[str], np.ndarray]:
+        """Segments of a text, and the keyed hash of each occurrence."""
+        parts = self.segments(" " + text) if text else []
         base = xxhash.xxh64_intdigest(f"{seed}:{doc_id or 0}".encode())
         places = np.arange(len(parts), dtype=np.uint64) * np.uint64(STEP) + np.uint64(base)
-        variant = (((places ^ (places >> np.uint64(31))) * np.uint64(MIX)) >> np.uint64(40)) % np.uint64(variants if rate else 1)
-        return list(zip(parts, variant.tolist(), strict=True))
-
-    def encode_many(self, texts: list[str], doc_ids: list[int | None], rate: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> list[list[int]]:
-        if len(self.found) > REMEMBERED:
-            self.found.clear()
-        found = self.found
-        parts = [self.parts(t, d, rate, seed, variants) for t, d in zip(texts, doc_ids, strict=True)]
-        fresh = list(set(chain.from_iterable(parts)).difference(found))  # in any order: ids depend on nothing else
-        keys = [xxhash.xxh64_intdigest(w.encode(), (seed * 0x10001 + v) & MASK) if rate else 0 for w, v in fresh]
-        found.update(zip(fresh, self.segment_many([w for w, _ in fresh], keys, rate), strict=True))
-        out = [list(chain.from_iterable(map(found.__getitem__, own))) for own in parts]
-        for p in fresh:
-            if len(p[0]) > LONGEST:
-                del found[p]
-        return out
-
-    def encode(self, text: str, doc_id: int | None = 0, rate: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> list[int]:
-        return self.encode_many([text], [doc_id], rate, seed, variants)[0]
+        places = (places ^ (places >> np.uint64(31))) * np.uint64(MIX)
+        places = (places ^ (places >> np.uint64(29))) * np.uint64(TURN)
+        return parts, places ^ (places >> np.uint64(32))
+
+    def _learn(self, words: list[str]) -> None:
+        fresh = list(set(words).difference(self.number))  # in any order: ids depend on nothing else
+        if not fresh:
+            return
+        tried: list[np.ndarray] = [self.tries[:0]] * len(fresh)
+        self.plain += self.segment_many(fresh, [0] * len(fresh), 0.0, tried)
+        self.number.update(zip(fresh, range(len(self.number), len(self.plain)), strict=True))
+        self.tries = np.concatenate([self.tries, *tried])
+        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum([len(x) for x in tried])])
+
+    def encode_many(self, texts: list[str], doc_ids: list[int | None], rate: float = DROPOUT, seed: int = SEED) -> list[list[int]]:
+        if len(self.number) > REMEMBERED:
+            self._forget()
+        parts = [self.parts(t, d, seed) for t, d in zip(texts, doc_ids, strict=True)]
+        words = list(chain.from_iterable(own for own, _ in parts))
+        keys = np.concatenate([k for _, k in parts]) if parts else np.zeros(0, np.uint64)
+        short = np.fromiter(map(len, words), np.int64, len(words)) <= LONGEST
+        at = np.flatnonzero(short)
+        self._learn([words[i] for i in at.tolist()])
+        number = np.fromiter((self.number[words[i]] for i in at.tolist()), np.int64, len(at))
+        begins = self.begins[number]
+        many = self.begins[number + 1] - begins
+        ends = np.cumsum(many)
+        tries = self.tries[np.repeat(begins - ends + many, many) + np.arange(int(many.sum()))]
+        skipped = (((np.repeat(keys[at], many) ^ tries) * np.uint64(MIX)) >> np.uint64(32)) < np.uint64(int(rate * (1 << 32)))
+        upto = np.concatenate([[0], np.cumsum(skipped)])
+        varied = ~short
+        varied[at] = upto[ends] > upto[ends - many]
+        out: list[list[int] | None] = [None] * len(words)
+        for i, k in zip(at.tolist(), number.tolist(), strict=True):
+            out[i] = self.plain[k]
+        own = np.flatnonzero(varied).tolist()
+        for i, ids in zip(own, self.segment_many([words[i] for i in own], keys[own].tolist(), rate), strict=True):
+            out[i] = ids
+        stops = np.cumsum([len(p) for p, _ in parts]).tolist()
+        return [list(chain.from_iterable(out[a:b])) for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+
+    def encode(self, text: str, doc_id: int | None = 0, rate: float = DROPOUT, seed: int = SEED) -> list[int]:
+        return self.encode_many([text], [doc_id], rate, seed)[0]
 
     def decode(self, ids: list[int]) -> str:
         held = self.bytes_of
         return b"".join([held[i] for i in ids]).decode()[1:] if len(ids) else ""
 
 
-def encoding(path: str, rate: float, seed: int, variants: int):
+def encoding(path: str, rate: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = pieces.encode_many([x or "" for x in part["text"].to_pylist()], part["doc_id"].to_pylist(), rate, seed, variants)
+                ids = pieces.encode_many([x or "" for x in part["text"].to_pylist()], part["doc_id"].to_pylist(), rate, seed)
                 offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 values = np.fromiter((i for x in ids for i in x), np.int32, int(offsets[-1]))
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["md5"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["doc_id", "md5", "ids"])
@@ -279,11 +317,11 @@ def decoding(path: str):
     return run
 
 
-def encode(docs: DataFrame, path: str, rate: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, path: str, rate: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """doc_id, md5 (of the text, for checks) and ids of each document."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     slim = slim.withColumn("md5", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    return slim.mapInArrow(encoding(path, rate, seed, variants), "doc_id long, md5 string, ids array<int>")
+    return slim.mapInArrow(encoding(path, rate, seed), "doc_id long, md5 string, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -76,3 +76,18 @@ def test_query_on_odd_cases(spark, tmp_path):
     assert len(rows) == len(source) and all(r.lossless for r in rows)
     assert {r.n_ids for r in rows if r.doc_id in (1000, 1001)} == {0}
     assert pieces.encode(cases.frame(spark, []), pieces.default_model()).collect() == []
+
+
+def test_each_occurrence_is_varied_on_its_own(held):
+    words = [" " + w for w in ("the", "and", "this", "something")]
+    for word in words:
+        text = (word * 4000)[1:]
+        parts, keys = held.parts(text, 7, pieces.SEED)
+        assert parts == [word] * 4000 and len(set(keys.tolist())) == 4000
+        single = [held.segment(word, k, 0.1) for k in keys.tolist()]
+        assert held.encode(text, 7) == [x for ids in single for x in ids]
+        plain = held.segment(word, 0, 0.0)
+        # Each merge is skipped in a tenth of the occurrences, after which another way may lead to the same ids.
+        assert 0.9 ** (len(word) - len(plain)) - 0.03 < sum(x == plain for x in single) / 4000 < 0.95
+        assert held.encode(text, 7) != held.encode(text, 8)
+    assert len({tuple(held.segment(words[-1], k, 0.1)) for k in keys.tolist()}) > 4

@@ -78,7 +78,8 @@ def cell_edges(m: int, candidates: int, metric: str):
 
 
 def in_cells(vectors: DataFrame, metric: str, probes: int = PROBES, cell: int = CELL) -> DataFrame:
-    """node_id, vec, cell: each row with its nearest pivots. Cells beyond the size are split by a hash."""
+    """node_id, vec, cell: each row with its nearest pivots. Cells beyond the size are dealt to blocks of half
+    the size, and any two blocks of a cell meet in one split, so that no pair of a cell is lost."""
     n = vectors.count()
     wanted = max(1, min(SAMPLE, -(-n * probes // cell)))
     sample = vectors.orderBy(F.xxhash64("node_id"), "node_id").limit(wanted).select("vec").collect()
@@ -97,8 +98,10 @@ def in_cells(vectors: DataFrame, metric: str, probes: int = PROBES, cell: int =
     schema = T.StructType([*vectors.select("node_id", "vec").schema.fields, T.StructField("cell", T.IntegerType())])
     dealt = written(vectors.select("node_id", "vec").mapInArrow(run, schema), "cells")
     sizes = dealt.groupBy("cell").agg(F.count("*").alias("n"))  # SAMPLE rows at most
-    split = F.pmod(F.xxhash64("node_id"), F.ceil(F.col("n") / cell)).cast("int")
-    return dealt.join(F.broadcast(sizes), "cell").select("node_id", "vec", "cell", split.alias("split"))
+    blocks = F.when(F.col("n") <= cell, 1).otherwise(F.ceil(F.col("n") * 2 / cell)).cast("long")
+    held = dealt.join(F.broadcast(sizes), "cell").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node_id"), F.col("blocks")))
+    met = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("blocks = 1 or other <> own")
+    return met.select("node_id", "vec", "cell", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("split"))
 
 
 def build_level(vectors: DataFrame, m: int, cap: int, candidates: int, metric: str) -> DataFrame:

@@ -91,3 +91,14 @@ def test_layout_is_a_bijection(spark):
     groups = layout.neighbour_groups(e, laid).collect()
     assert sum(len(g.local_indices) for r in groups for g in r.groups) == 60
     assert all([(g.cluster, g.subgroup) for g in r.groups] == sorted((g.cluster, g.subgroup) for g in r.groups) for r in groups)
+
+
+def test_all_pairs_of_an_oversized_cell_meet(spark):
+    dealt = graph.in_cells(vectors(spark, 300), "l2", probes=1, cell=40).select("node_id", "cell", "split").collect()
+    cells, splits = {}, {}
+    for r in dealt:
+        cells.setdefault(r.cell, set()).add(r.node_id)
+        splits.setdefault((r.cell, r.split), set()).add(r.node_id)
+    assert max(map(len, cells.values())) > 40 and len(cells) > 1
+    met = {(a, b) for own in splits.values() for a in own for b in own}
+    assert all((a, b) in met for own in cells.values() for a in own for b in own)

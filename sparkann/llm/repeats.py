@@ -10,13 +10,18 @@ is first cut to the runs of strings whose own hashes repeat, for a passage that
 neighbourhood in each; what remains of them is as few contents as the passage has. So no key holds more than HOT segments
 or contents that repeat, and neither texts nor candidates of a key meet in one place before they are few.
 
+Segments of more than PIECE strings (periodic texts have them) are cut into pieces, so a candidate is short whatever its text. What is
+left of the segments of a very common anchor is cut once more, by a second and finer anchor, so that its contents are
+dealt to many tasks.
+
 Index. Candidates of a hash meet in one task. A task takes hashes in bounded chunks and builds for each chunk the
-Burrows-Wheeler transform over the suffixes that can begin a match, run-compressed, with the suffix array sampled at both
-ends of each run. Suffixes in one run extend to the left together, so a longest match with the suffix before it can
-begin only at the head of a run, and all others follow from it: the matching statistic of a place is that of the sampled
-place before it in the text, less the distance. So one comparison for each run gives all matching statistics, which are
-streamed over the text, and all places with LENGTH or more are marked, as are their partners. Suffixes that are unsampled
-are never compared. Equal segments in two places are marked whole.
+Burrows-Wheeler transform over the suffixes that can begin a match, and keeps its runs: stretches of rows that the same byte
+precedes and whose suffixes, extended by it, are neighbours again. A run has its first row, the row to which that leads (an
+LF step, the others of the run follow in order), and a sample: the place of the suffix above that row, and how far the two agree.
+The suffix array itself is dropped. All strings of a chunk are then streamed through the index together, from their ends to
+their beginnings, an LF step for each byte. Within a run the match with the suffix above grows by the byte; at the head of a
+run the sample gives the new one. So the matching statistics of all places come from the samples of the runs, and places
+with LENGTH or more are marked, as are their partners. Equal candidates in two places are marked whole.
 
 Passages of so many words or more, however short, are found by the same index over texts in which each word stands as WORD
 bytes of its hash: there a number of words is a number of bytes. What bounds no word is left out of such spans.
@@ -32,23 +37,26 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cmp_to_key
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkann.llm.common import documents, key128, shuffle_partitions, text_bytes, unpacked_rows, whole_row, with_row, written
 
 LENGTH, ANCHOR, HOT = 400, 200, 1000
+#: Strings of a candidate at most, and the words of a passage: more than 50.
+PIECE, PASSAGE = 1024, 51
 #: Bytes that stand for a word.
 WORD = 6
 #: Bytes scanned at a time, and bytes of candidates indexed at a time.
 SCAN, CHUNK = 1 << 20, 2 << 20
-#: Bytes of candidates that one task gathers, about.
-TASK_BYTES = 24 << 20
+#: Bytes of candidates that one task gathers, about, and bytes of suffixes copied at a time to sort them.
+TASK_BYTES, COPIED = 24 << 20, 32 << 20
 MASK = (1 << 64) - 1
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 SEGMENTS = "array<struct<start:long,n:int,anchor:long,hot:boolean>>"
@@ -131,6 +139,15 @@ def segments(texts: list[bytes], rolling: Rolling, length: int, anchor: int) ->
         yield scanned()
 
 
+def cut_to_pieces(i: np.ndarray, start: np.ndarray, n: np.ndarray, h: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Segments as pieces of PIECE strings at most."""
+    times = -(-n // PIECE)
+    if times.max(initial=1) == 1:
+        return i, start, n, h, twice
+    shift = (np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)) * PIECE
+    return np.repeat(i, times), np.repeat(start, times) + shift, np.minimum(np.repeat(n, times) - shift, PIECE), np.repeat(h, times), np.repeat(twice, times)
+
+
 def keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return tuple(batch[x].to_numpy(zero_copy_only=False) for x in ("t1", "t2"))
 
@@ -146,7 +163,8 @@ def anchored(length: int, anchor: int):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 t1, t2 = keys(part)
-                for i, start, n, h, twice in segments(text_bytes(part["text"]), rolling, length, anchor):
+                for found in segments(text_bytes(part["text"]), rolling, length, anchor):
+                    i, start, n, h, twice = cut_to_pieces(*found)
                     yield batch_of(t1=t1[i], t2=t2[i], start=start.astype(np.int64), n=n.astype(np.int32), anchor=h.view(np.int64), twice=twice)
 
     return run
@@ -241,23 +259,38 @@ class RunLengthIndex:
         self.text = b"\0".join(strings) + b"\0" * 9
         self.data = np.frombuffer(self.text, np.uint8)
         self.words = np.ndarray((len(self.text) - 7,), "<u8", self.text, strides=(1,))
-        counts = np.maximum(sizes - length + 1, 0)
-        owner = np.repeat(np.arange(len(strings)), counts)
-        starts = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + self.begins[owner]
+        self.counts = np.maximum(sizes - length + 1, 0)
+        owner = np.repeat(np.arange(len(strings)), self.counts)
+        starts = np.arange(len(owner)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts) + self.begins[owner]
         suffixes, owner = self._sorted(starts, owner)
-        # A run is a stretch of suffixes that the same byte precedes; the first of a string has nothing before it.
-        before = np.where(suffixes > self.begins[owner], self.data[suffixes - 1].astype(np.int16), -1)
+        row_of = np.full(len(self.text), -1, np.int64)
+        row_of[suffixes] = np.arange(len(suffixes))
+        # The byte before each suffix, and the row of the suffix that begins there; a string's first has none.
+        inside = suffixes > self.begins[owner]
+        before = np.where(inside, self.data[suffixes - 1].astype(np.int16), -1)
+        leads = np.where(inside, row_of[suffixes - 1], -1)
         heads = np.ones(len(suffixes), bool)
-        heads[1:] = (before[1:] != before[:-1]) | (before[1:] < 0)
-        at = np.flatnonzero(heads)
-        self.runs = before[at]
-        #: The suffix array where runs begin, and where they end; with them the string of each.
-        self.head, self.head_owner = suffixes[at], owner[at]
-        tails = np.r_[at[1:] - 1, len(suffixes) - 1] if len(at) else at
-        self.tail, self.tail_owner = suffixes[tails], owner[tails]
+        heads[1:] = (before[1:] != before[:-1]) | (leads[1:] != leads[:-1] + 1) | ~inside[1:]
+        #: Runs: first row, byte, row to which the first leads; and the sample there.
+        self.first = np.flatnonzero(heads)
+        self.byte, self.leads = before[self.first], leads[self.first]
+        self.above, self.agrees = self._samples(suffixes, owner, self.leads)
+        #: The row of each string's last suffix, where its stream begins, with its sample; -1: it has none.
+        self.last = np.where(self.counts > 0, row_of[np.maximum(self.stops - length, 0)], -1)
+        self.last_above, self.last_agrees = self._samples(suffixes, owner, self.last)
+
+    def _samples(self, suffixes: np.ndarray, owner: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of the suffix above each row, and how far it agrees with the row's; -1 and 0 if there is none."""
+        place, common = np.full(len(rows), -1, np.int64), np.zeros(len(rows), np.int64)
+        at = np.flatnonzero(rows > 0)
+        below, above = rows[at], rows[at] - 1
+        place[at] = suffixes[above]
+        common[at] = self._common(suffixes[below], self.stops[owner[below]], suffixes[above], self.stops[owner[above]])
+        return place, common
 
     def _sorted(self, starts: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffixes in order: by eight bytes, then those that tie by the rest, equal ones by place."""
+        """Suffixes in order: by eight bytes, then those that tie by the rest, equal ones by place. What ties is copied to be
+        sorted if it is COPIED bytes at most; else each comparison makes its own copies."""
         key = self.words[starts].byteswap()
         order = np.argsort(key, kind="stable")
         key = key[order]
@@ -265,15 +298,22 @@ class RunLengthIndex:
         tied = np.flatnonzero(np.diff(edges) > 1)
         text, ends = self.text, self.stops[owner]
         for a, b in zip(edges[tied].tolist(), edges[tied + 1].tolist(), strict=True):
-            own = order[a:b].tolist()
-            suffix = {i: text[p + 8 : e] for i, p, e in zip(own, starts[own].tolist(), ends[own].tolist(), strict=True)}
-            own.sort(key=suffix.__getitem__)
-            order[a:b] = own
+            own = order[a:b]
+            places, stops = starts[own], ends[own]
+            if int((stops - places).sum()) <= COPIED:
+                own = own.tolist()
+                rest = {i: text[p + 8 : e] for i, p, e in zip(own, places.tolist(), stops.tolist(), strict=True)}
+                own.sort(key=rest.__getitem__)
+                order[a:b] = own
+            else:
+                at = list(zip(places.tolist(), stops.tolist(), own.tolist(), strict=True))
+                at.sort(key=cmp_to_key(lambda x, y: -1 if text[x[0] + 8 : x[1]] < text[y[0] + 8 : y[1]] else int(text[x[0] + 8 : x[1]] > text[y[0] + 8 : y[1]])))
+                order[a:b] = [i for _, _, i in at]
         return starts[order], owner[order]
 
     def _common(self, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> np.ndarray:
-        """Length of the longest common prefix of each pair of suffixes."""
-        most = np.minimum(a_end - a, b_end - b)
+        """Length of the longest common prefix of each pair of suffixes, up to the length that counts."""
+        most = np.minimum(np.minimum(a_end - a, b_end - b), self.length)
         out = most.copy()
         left = np.arange(len(a))
         done = 0
@@ -286,19 +326,33 @@ class RunLengthIndex:
             left = left[most[left] > done]
         return np.minimum(out, most)
 
+    def matches(self) -> np.ndarray:
+        """Whether a match of length bytes with another place begins at each place, from matching statistics streamed over all
+        strings, an LF step at a time."""
+        found = np.zeros(len(self.text), bool)
+        order = np.argsort(-self.counts, kind="stable")
+        order = order[self.counts[order] > 0]
+        counts, row = self.counts[order], self.last[order]
+        place, other, common = self.stops[order] - self.length, self.last_above[order], self.last_agrees[order]
+        left = np.searchsorted(-counts, -np.arange(1, counts.max(initial=0) + 2), side="right")  # strings with more places than steps
+        for alive in left[1:].tolist():
+            long = common >= self.length
+            found[place[long]] = True
+            found[other[long]] = True
+            row, place, other, common = row[:alive], place[:alive] - 1, other[:alive] - 1, common[:alive] + 1
+            run = np.searchsorted(self.first, row, side="right") - 1
+            into = row - self.first[run]
+            row = self.leads[run] + into
+            head = np.flatnonzero(into == 0)
+            other[head], common[head] = self.above[run[head]], self.agrees[run[head]]
+        return found
+
     def marked(self) -> np.ndarray:
         """For each byte of the text: whether it belongs to a match of length or more with another place."""
-        if len(self.head) < 2:
-            return np.zeros(len(self.text), bool)
-        # What precedes the head of a run, in order, is the tail of the run before.
-        a, b = self.head[1:], self.tail[:-1]
-        common = self._common(a, self.stops[self.head_owner[1:]], b, self.stops[self.tail_owner[:-1]])
-        long = common >= self.length
-        # Streaming: a place at distance t after a sample matches t bytes less, so samples reach to the same ends.
+        begins = np.flatnonzero(self.matches())
         steps = np.zeros(len(self.text) + 1, np.int64)
-        for begin in (a[long], b[long]):
-            np.add.at(steps, begin, 1)
-            np.add.at(steps, begin + common[long], -1)
+        steps[begins] += 1
+        steps[begins + self.length] -= 1
         return np.cumsum(steps[:-1]) > 0
 
 
@@ -374,17 +428,41 @@ def repeats(keyed: DataFrame, texts: DataFrame, length: int = LENGTH, anchor: in
     return held.select("t1", "t2", "copies", "text"), spans.groupBy("t1", "t2").agg(F.collect_set("span").alias("spans"))
 
 
+def refined(length: int, anchor: int):
+    """The segments of each text anew, each cut where a finer anchor changes, which depends on a string alone as well."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling = Rolling(BASES[1])
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int32()), ("anchor", pa.int64()), ("hot", pa.bool_())]))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                lists = []
+                for _, _, _, listed, found in cut_out(part, length):
+                    own = []
+                    for i, start, n, h, _ in segments(found, rolling, length, anchor):
+                        base = np.array([s["start"] for s in listed], np.int64)[i]
+                        own += [{"start": a, "n": k, "anchor": x, "hot": True} for a, k, x in zip((base + start).tolist(), n.tolist(), h.view(np.int64).tolist(), strict=True)]
+                    lists.append(own)
+                yield pa.RecordBatch.from_arrays([part["t1"], part["t2"], part["copies"], part["text"], pa.array(lists, kind)], ["t1", "t2", "copies", "text", "segments"])
+
+    return run
+
+
 def trimmed(held: DataFrame, length: int) -> DataFrame:
-    """Segments of very common anchors, cut to the runs of strings whose own hashes stand in two places or more."""
+    """Segments of very common anchors, cut to the runs of strings whose own hashes stand in two places or more, and these to
+    segments of finer anchors."""
     strings = written(held.mapInArrow(windows(length), "t1 long, t2 long, start long, anchor long, h1 long, h2 long"), "windows")
     place = F.xxhash64("t1", "t2", "start")
     several = strings.groupBy("h1", "h2").agg(F.min(place).alias("low"), F.max(place).alias("high"))
     several = written(several.where("low <> high").select("h1", "h2"), "repeated-windows")
-    kept = strings.join(several, ["h1", "h2"]).groupBy("t1", "t2", "anchor").agg(F.array_sort(F.collect_set("start")).alias("starts"))
     # A run's strings minus their numbers are one value.
-    runs = kept.select("t1", "t2", "anchor", F.posexplode("starts").alias("i", "start")).groupBy("t1", "t2", "anchor", (F.col("start") - F.col("i")).alias("run")).agg(F.min("start").alias("start"), F.count("*").cast("int").alias("n"))
+    number = F.row_number().over(Window.partitionBy("t1", "t2", "anchor").orderBy("start"))
+    kept = strings.join(several, ["h1", "h2"]).select("t1", "t2", "anchor", "start", (F.col("start") - number).alias("run"))
+    runs = kept.groupBy("t1", "t2", "anchor", "run").agg(F.min("start").alias("start"), F.count("*").cast("int").alias("n"))
     lists = runs.groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "n", "anchor", F.lit(True).alias("hot"))).alias("segments"))
-    return held.drop("segments").join(written(lists, "trimmed-lists"), ["t1", "t2"]).select("t1", "t2", "copies", "text", "segments")
+    found = held.drop("segments").join(written(lists, "trimmed-lists"), ["t1", "t2"]).select("t1", "t2", "copies", "text", "segments")
+    return found.mapInArrow(refined(length, length - length // 8), found.schema)
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -412,16 +490,22 @@ def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part["t1"], part["t2"], pa.array([[{"a": a, "b": b} for a, b in s] for s, _ in rows], kind), pa.array([k for _, k in rows], pa.binary())], ["t1", "t2", "spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Returns the rows (doc_id, t1, t2, n_bytes, sha256 of the text), the distinct texts (t1, t2, copies), and, for each text
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    return written(rows.groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least")), "distinct-texts")
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, words: int = 0) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """Returns the rows (doc_id, t1, t2, n_bytes, n_words, sha256 of the text), the distinct texts (t1, t2, copies), and, for each text
     that loses anything but has no second copy, t1, t2, spans (merged) and kept (its remaining bytes). Texts with copies of
-    length bytes or more are not in the third table: nothing of them remains."""
+    length bytes or more are not in the third table: nothing of them remains. The fourth, unless words is 0: what
+    repeated_passages() gives."""
     keyed = with_keys(docs)
-    rows = written(keyed.select("doc_id", "t1", "t2", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha256")), "texts")
-    texts = written(rows.groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least")), "distinct-texts")
+    n_words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    rows = written(keyed.select("doc_id", "t1", "t2", F.octet_length("text").cast("long").alias("n_bytes"), n_words.alias("n_words"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha256")), "texts")
+    texts = distinct_texts(rows)
     held, spans = repeats(keyed, texts, length, anchor, hot)
     kept = held.where("copies = 1").select("t1", "t2", "text").join(written(spans, "spans"), ["t1", "t2"]).mapInArrow(removed, "t1 long, t2 long, spans array<struct<a:long,b:long>>, kept binary")
-    return rows, texts.select("t1", "t2", "copies"), kept
+    return rows, texts.select("t1", "t2", "copies"), kept, repeated_passages(keyed, texts, words) if words else None
 
 
 def coded(words: int):
@@ -448,6 +532,29 @@ def word_ranges(data: bytes, spans: list[dict] | None, words: int) -> list[dict]
     return [{"a": at[i][0], "b": at[j - 1][1]} for i, j in found if j - i >= words]
 
 
+def passage_counts(words: int):
+    """Words under the passages of each text, and maximal runs of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [[(-(-a // WORD), b // WORD) for a, b in merged(spans)] for spans in batch["spans"].to_pylist()]
+            own = [[j - i for i, j in x if j - i >= words] for x in own]
+            yield pa.RecordBatch.from_arrays([batch["t1"], batch["t2"], pa.array([sum(x) for x in own], pa.int64()), pa.array([len(x) for x in own], pa.int64())], ["t1", "t2", "words", "passages"])
+
+    return run
+
+
+def in_words(keyed: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """t1, t2, spans (of the coded text): passages of so many words or more that stand twice, in texts that stand once."""
+    return repeats(keyed.mapInArrow(coded(words), "doc_id long, t1 long, t2 long, text binary"), texts, words * WORD, words // 2 * WORD)[1]
+
+
+def repeated_passages(keyed: DataFrame, texts: DataFrame, words: int = PASSAGE) -> DataFrame:
+    """t1, t2, words (those that a passage of so many words covers which stands twice) and passages (maximal runs of such words) of
+    texts that hold any; keyed and texts as for repeats()."""
+    return in_words(keyed, texts, words).mapInArrow(passage_counts(words), "t1 long, t2 long, words long, passages long")
+
+
 def cut_texts(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -468,17 +575,15 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, words: int = 0) -> Da
     """docs with repeated spans cut out of text, and with n_chars counted anew if it is there; a character that loses some of
     its bytes goes, a null text stays null. Spans are strings of length bytes and, unless 0, passages of so many words."""
     keyed = with_keys(docs)
-    texts = written(keyed.groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least")), "distinct-texts")
+    texts = distinct_texts(keyed)
     whole = texts.where("copies > 1").select("t1", "t2", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(MASK >> 1).alias("b"))).alias("spans"))
 
-    def found_in(given: DataFrame, *sizes: int) -> DataFrame:
-        _, spans = repeats(given, texts, *sizes)
+    def with_copies(spans: DataFrame) -> DataFrame:
         return written(spans.join(whole, ["t1", "t2"], "left_anti").unionByName(whole), "spans")
 
-    found = with_keys(docs, whole_row(docs)).drop("text").join(found_in(keyed, length), ["t1", "t2"], "left")
+    found = with_keys(docs, whole_row(docs)).drop("text").join(with_copies(repeats(keyed, texts, length)[1]), ["t1", "t2"], "left")
     if words:
-        in_words = found_in(keyed.mapInArrow(coded(words), "doc_id long, t1 long, t2 long, text binary"), words * WORD, words // 2 * WORD)
-        found = found.join(in_words.withColumnRenamed("spans", "word_spans"), ["t1", "t2"], "left")
+        found = found.join(with_copies(in_words(keyed, texts, words)).withColumnRenamed("spans", "word_spans"), ["t1", "t2"], "left")
     else:
         found = found.withColumn("word_spans", F.lit(None).cast("array<struct<a:long,b:long>>"))
     found = found.withColumn("text", F.col("row")["text"].cast("string"))
@@ -489,34 +594,46 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, words: int = 0) -> Da
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, texts, kept = remove_repeats(documents(spark, sf_dir))
+    """The contract's columns at 400 bytes, and beside them what repeated passages of over 50 words cover: n_words, n_passage_words,
+    n_passages."""
+    rows, texts, kept, passages = remove_repeats(documents(spark, sf_dir), words=PASSAGE)
     n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
     digests = kept.select("t1", "t2", n_removed.alias("gone"), F.size("spans").cast("long").alias("parts"), F.sha2("kept", 256).alias("rest"))
     # One table by text, so that rows meet it in a single join, whose hot texts can be split among tasks.
-    digests = written(texts.join(digests, ["t1", "t2"], "left").where("copies > 1 or gone is not null"), "digests")
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
-    out = rows.join(digests, ["t1", "t2"], "left")
-    return out.select(
+    digests = texts.join(digests, ["t1", "t2"], "left").join(passages, ["t1", "t2"], "left")
+    digests = written(digests.where("copies > 1 or gone is not null or words is not null"), "digests")
+    copied, by_rule = F.col("copies") > 1, lambda whole, all_of, some: F.when(whole, all_of).otherwise(F.coalesce(F.col(some), F.lit(0))).cast("long")
+    whole, whole_words = copied & (F.col("n_bytes") >= LENGTH), copied & (F.col("n_words") >= PASSAGE)
+    return rows.join(digests, ["t1", "t2"], "left").select(
         "doc_id",
         "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("gone", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(whole, 1).otherwise(F.coalesce("parts", F.lit(0))).cast("long").alias("n_spans"),
+        by_rule(whole, F.col("n_bytes"), "gone").alias("n_removed"),
+        by_rule(whole, F.lit(1), "parts").alias("n_spans"),
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("rest", F.lower(F.hex("sha256")))).alias("kept_sha256"),
+        "n_words",
+        by_rule(whole_words, F.col("n_words"), "words").alias("n_passage_words"),
+        by_rule(whole_words, F.lit(1), "passages").alias("n_passages"),
     )
 
 
 QUERIES = {"op3_suffix_dedup": op3_suffix_dedup}
 SQL = {
     "op3_suffix_dedup": """
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, encode(coalesce(text, '')) AS b FROM documents),
 h AS (SELECT rid, doc_id, octet_length(b)::BIGINT AS n, hex(b) AS x, b FROM d),
 w AS (SELECT rid, s, md5(array_slice(b, s + 1, s + 400)) AS k FROM (SELECT rid, b, unnest(range(0, n - 399)) AS s FROM h WHERE n >= 400)),
 r AS (SELECT rid, s FROM w JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
 i AS (SELECT rid, s, sum(fresh) OVER (PARTITION BY rid ORDER BY s) AS run FROM (SELECT rid, s, CASE WHEN s <= lag(s) OVER (PARTITION BY rid ORDER BY s) + 400 THEN 0 ELSE 1 END AS fresh FROM r)),
 p AS (SELECT rid, run, min(s) AS a, max(s) + 400 AS z FROM i GROUP BY rid, run),
 g AS (SELECT rid, a, z, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM p),
-k AS (SELECT g.rid, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(x, (2 * before + 1)::BIGINT, (2 * (a - before))::BIGINT), '' ORDER BY a) AS head, max(z) AS last FROM g JOIN h USING (rid) GROUP BY g.rid)
+k AS (SELECT g.rid, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(x, (2 * before + 1)::BIGINT, (2 * (a - before))::BIGINT), '' ORDER BY a) AS head, max(z) AS last FROM g JOIN h USING (rid) GROUP BY g.rid),
+t AS (SELECT rid, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS t FROM d),
+pw AS (SELECT rid, s, md5(array_to_string(list_slice(t, s + 1, s + 51), ' ')) AS k FROM (SELECT rid, t, unnest(range(0, len(t) - 50)) AS s FROM t WHERE len(t) >= 51)),
+pr AS (SELECT rid, s FROM pw JOIN (SELECT k FROM pw GROUP BY k HAVING count(*) > 1) USING (k)),
+pi AS (SELECT rid, s, sum(fresh) OVER (PARTITION BY rid ORDER BY s) AS run FROM (SELECT rid, s, CASE WHEN s <= lag(s) OVER (PARTITION BY rid ORDER BY s) + 51 THEN 0 ELSE 1 END AS fresh FROM pr)),
+pk AS (SELECT rid, sum(z - a)::BIGINT AS n_passage_words, count(*) AS n_passages FROM (SELECT rid, min(s) AS a, max(s) + 51 AS z FROM pi GROUP BY rid, run) GROUP BY rid)
 SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-       sha256(unhex(CASE WHEN k.rid IS NULL THEN x ELSE head || substr(x, (2 * last + 1)::BIGINT) END)) AS kept_sha256
-FROM h LEFT JOIN k USING (rid)"""
+       sha256(unhex(CASE WHEN k.rid IS NULL THEN x ELSE head || substr(x, (2 * last + 1)::BIGINT) END)) AS kept_sha256,
+       len(t.t)::BIGINT AS n_words, coalesce(n_passage_words, 0) AS n_passage_words, coalesce(n_passages, 0) AS n_passages
+FROM h LEFT JOIN k USING (rid) JOIN t USING (rid) LEFT JOIN pk USING (rid)"""
 }

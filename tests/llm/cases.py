@@ -24,6 +24,15 @@ def odd() -> list[tuple]:
     ]
 
 
+def long() -> list[tuple]:
+    """Texts of about a million characters that are hard on searches, sorts and matchers."""
+    return [
+        (3000, " " * 1_000_000, "en"), (3001, "a" * 1_000_000, "en"), (3002, "\n " * 500_000, "en"),
+        (3003, "The same line stands here again and again, for a million characters.\n" * 14_500, "en"),
+        (3004, "ann@ex.org 10.1.2.3 " * 25_000, "en"),
+    ]
+
+
 def frame(spark, rows: list[tuple]):
     return spark.createDataFrame([(d, t, lang, None, None if t is None else len(t), "r", "k", 1) for d, t, lang in rows], SCHEMA).repartition(3)
 

@@ -23,6 +23,19 @@ def brute(texts, length):
     return out
 
 
+def brute_runs(lists, words):
+    """Items of each list that a repeated run of so many covers, and maximal runs of them."""
+    counts = Counter(tuple(d[i : i + words]) for d in lists for i in range(len(d) - words + 1))
+    out = []
+    for d in lists:
+        mark = [False] * len(d)
+        for i in range(len(d) - words + 1):
+            if counts[tuple(d[i : i + words])] > 1:
+                mark[i : i + words] = [True] * words
+        out.append((sum(mark), sum(m and not (i and mark[i - 1]) for i, m in enumerate(mark))))
+    return out
+
+
 def corpus(seed):
     rnd = random.Random(seed)
     base = ["".join(rnd.choice("abé ") for _ in range(rnd.randint(0, 90))) for _ in range(50)]
@@ -44,7 +57,7 @@ def corpus(seed):
 def test_brute_force(spark, length, anchor, hot):
     docs = corpus(length + hot)
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
-    rows, texts, kept = repeats.remove_repeats(df, length, anchor, hot)
+    rows, texts, kept, _ = repeats.remove_repeats(df, length, anchor, hot)
     rows = {r.doc_id: r for r in rows.join(texts, ["t1", "t2"]).collect()}
     kept = {(r.t1, r.t2): r for r in kept.collect()}
     got = []
@@ -67,16 +80,63 @@ def test_index_marks_what_sorting_all_strings_marks():
     mask = index.marked()
     want = brute(strings, 30)
     assert [int(mask[a:b].sum()) for a, b in zip(index.begins, index.stops)] == [w[1] for w in want]
-    assert len(index.runs) < sum(max(len(s) - 29, 0) for s in strings)  # runs compress
+    assert len(index.first) < sum(max(len(s) - 29, 0) for s in strings)  # runs compress
+
+
+def test_runs_lead_through_the_strings():
+    rnd = random.Random(12)
+    base = bytes(rnd.choice(b"abc") for _ in range(300))
+    strings = [base[a : a + n] + bytes([rnd.choice(b"xy")]) for a, n in ((0, 90), (10, 80), (0, 40), (100, 150), (90, 100))] + [b"a" * 120, b"ab" * 70, b"short"]
+    index = repeats.RunLengthIndex(strings, 30)
+    for s, row in zip(strings, index.last.tolist()):
+        read = []
+        for _ in range(max(len(s) - 30, 0)):  # from the last suffix to the first, by LF steps over runs alone
+            run = int((index.first <= row).sum()) - 1
+            read.append(index.byte[run])
+            row = index.leads[run] + row - index.first[run]
+        assert bytes(read[::-1]) == s[: max(len(s) - 30, 0)]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_index_on_random_strings(seed):
+    rnd = random.Random(seed)
+    base = bytes(rnd.choice(b"ab" if seed % 2 else b"abcd") for _ in range(200))
+    strings = []
+    for _ in range(rnd.randint(1, 12)):
+        a = rnd.randrange(150)
+        x = bytearray(base[a : a + rnd.randint(0, 120)])
+        if x and rnd.random() < 0.5:
+            x[rnd.randrange(len(x))] = 120
+        strings.append(bytes(x))
+    strings = list(dict.fromkeys(strings))
+    length = rnd.choice([5, 9, 16, 30])
+    index = repeats.RunLengthIndex(strings, length)
+    mask = index.marked()
+    assert [int(mask[a:b].sum()) for a, b in zip(index.begins, index.stops)] == [w[1] for w in brute(strings, length)]
+
+
+def test_sorting_by_comparisons_gives_the_same_index(monkeypatch):
+    strings = [b"a" * 300, b"ab" * 150, b"a" * 200 + b"b" + b"a" * 99]
+    want = repeats.RunLengthIndex(strings, 50).marked()
+    monkeypatch.setattr(repeats, "COPIED", 100)
+    assert (repeats.RunLengthIndex(strings, 50).marked() == want).all()
 
 
 def test_query_on_documents_and_odd_cases(spark, tmp_path):
     passage = "This passage stands in several documents, word for word, and is longer than four hundred bytes. " * 5
     source = cases.texts(40) + cases.odd() + [(2000 + i, f"own start {i} " + passage + f" own end {i}", "en") for i in range(3)]
-    source = [(d, t[:3000] if t else t, lang) for d, t, lang in source]
     got = repeats.op3_suffix_dedup(spark, cases.folder(spark, tmp_path, source)).collect()
-    want = brute([(t or "").encode() for _, t, _ in source], 400)
-    assert sorted(map(tuple, got), key=str) == sorted(((d, *w) for (d, _, _), w in zip(source, want)), key=str)
+    texts = [(t or "").encode() for _, t, _ in source]
+    want = [(d, *w, len(t.split()), *v) for (d, _, _), t, w, v in zip(source, texts, brute(texts, 400), brute_runs([t.split() for t in texts], 51))]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_very_long_texts(spark, tmp_path):
+    got = {r.doc_id: r for r in repeats.op3_suffix_dedup(spark, cases.folder(spark, tmp_path, cases.long() + cases.texts(20))).collect()}
+    for d, t, _ in cases.long():  # all of them repeat themselves throughout
+        r, n = got[d], len(t.split())
+        assert (r.n_bytes, r.n_removed, r.n_spans) == (len(t.encode()), len(t.encode()), 1)
+        assert (r.n_words, r.n_passage_words) == (n, n if n > 51 else 0)
 
 
 def test_sql_agrees(spark, tmp_path):
@@ -120,5 +180,5 @@ def test_pipeline_cuts_passages_of_over_50_words(spark):
 
 
 def test_empty(spark):
-    rows, texts, kept = repeats.remove_repeats(cases.frame(spark, []))
-    assert rows.collect() == [] and texts.collect() == [] and kept.collect() == []
+    rows, texts, kept, passages = repeats.remove_repeats(cases.frame(spark, []), words=51)
+    assert rows.collect() == [] and texts.collect() == [] and kept.collect() == [] and passages.collect() == []

@@ -70,8 +70,18 @@ def test_seeds_vary_and_repeat(held):
     assert len(held.encode(t, 1, 0.0)) < len(held.encode(t, 1, 0.2))
 
 
+@pytest.mark.parametrize("remembered", [10, 600_000])
+def test_what_is_remembered_changes_nothing(held, monkeypatch, remembered):
+    monkeypatch.setattr(pieces, "REMEMBERED", remembered)
+    held._forget()
+    for rate in (0.1, 0.4):
+        for i, t in enumerate([*texts()[:25], "one two  two 日本 日本 " * 200]):
+            parts, keys = held.parts(t, i, 9)
+            assert held.encode(t, i, rate, 9) == [x for w, k in zip(parts, keys.tolist()) for x in held.segment(w, k, rate)]
+
+
 def test_query_on_odd_cases(spark, tmp_path):
-    source = cases.texts(30) + cases.odd()
+    source = cases.texts(30) + cases.odd() + cases.long()
     rows = pieces.op7_merge_dropout(spark, cases.folder(spark, tmp_path, source)).collect()
     assert len(rows) == len(source) and all(r.lossless for r in rows)
     assert {r.n_ids for r in rows if r.doc_id in (1000, 1001)} == {0}

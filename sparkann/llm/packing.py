@@ -7,7 +7,9 @@ most 1024 numbers, which the driver reduces and packs in whole batches of equal
 * Dominance reduction (Martello and Toth, 1990): for the longest piece left, a small set that provably dominates every
   other set that could go with it is fixed for good. A piece beside which no other fits is alone. The longest that fits
   beside it dominates if it fills the rest exactly, if no two fit there, or if no three fit and no two are longer
-  together: any other set could be exchanged for it. Fixed sequences leave the instance.
+  together: any other set could be exchanged for it. Where no three fit, the longest and the longest that fits with it
+  dominate if of any other two the shorter is no longer than the second, or both are no longer than the longest
+  together. Fixed sequences leave the instance.
 * The remainder is packed best-fit decreasing: each piece goes to the fullest sequence that still takes it.
 
 The plan is a list of patterns with multiplicities. Its size depends on the sequence length alone, not on the documents.
@@ -71,7 +73,9 @@ def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
             return slow(text)
         try:
             return fast.encode_ordinary(text)
-        except (ValueError, RuntimeError):
+        except BaseException as refusal:  # its matcher gives up on very long runs of spaces by a panic, which is no Exception
+            if not isinstance(refusal, (ValueError, RuntimeError)) and type(refusal).__name__ != "PanicException":
+                raise
             return slow(text)
 
     return lambda texts: [one(x) for x in texts]
@@ -123,9 +127,19 @@ def dominating(w: int, counts: dict[int, int], capacity: int) -> Pattern | None:
         return ()
     longest = beside[-1]
     shortest = [n for n in beside[:3] for _ in range(min(3, left(n)))][:3]
-    alone = longest == room or len(shortest) < 2 or sum(shortest[:2]) > room
-    if alone or (len(shortest) < 3 or sum(shortest) > room) and best_pair(beside, room, lambda n: left(n) == 1) <= longest:
+    if longest == room or len(shortest) < 2 or sum(shortest[:2]) > room:
         return (longest,)
+    if len(shortest) == 3 and sum(shortest) <= room:
+        return None
+    single = lambda n: left(n) == 1
+    if best_pair(beside, room, single) <= longest:
+        return (longest,)
+    # The longest and the longest that fits with it, against any other two: the longer can take the place of the longest, so the
+    # other must fit the second's, or both together the longest's.
+    with_it = [n for n in beside if n <= room - longest and left(n) > (n == longest)]
+    second = with_it[-1] if with_it else 0
+    if second and best_pair([n for n in beside if n > second], room, single) <= longest:
+        return (longest, second)
     return None
 
 
@@ -232,7 +246,8 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = written(per_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "piece-offsets")
     counts = {r[0]: r[1] for r in per_task.groupBy("length").agg(F.sum("n")).collect()}  # at most one row per length
-    ranked = pieces.join(offsets, ["length", "task"]).withColumn("rank", F.col("before") + F.col("nth"))
+    # There are as many offsets as lengths and tasks, so they are merged, not broadcast; what is shuffled are numbers alone.
+    ranked = pieces.join(offsets.hint("merge"), ["length", "task"]).withColumn("rank", F.col("before") + F.col("nth"))
     out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(placed(places(plan(counts, length))), out)
 

@@ -11,7 +11,7 @@ from tests.llm import cases
 
 
 def test_documents_and_odd_cases(spark, tmp_path):
-    source = cases.texts(120) + cases.odd()
+    source = cases.texts(120) + cases.odd() + cases.long()
     rows = packing.op10_best_fit_packing(spark, cases.folder(spark, tmp_path, source)).collect()
     tokens = Tokenizer.from_file(packing.default_tokenizer())
     want = []
@@ -66,6 +66,13 @@ def test_reduction_keeps_the_optimum():
     assert reduced > 300
 
 
+def test_three_pieces_can_dominate():
+    fixed = packing.reduce_dominated(left := {10: 1, 6: 1, 4: 1, 3: 1}, 20)
+    assert fixed[0] == ((10, 6, 4), 1) and not left[10]
+    assert packing.dominating(11, {11: 1, 5: 1, 4: 2, 3: 1}, 20) == (5, 4)
+    assert packing.dominating(11, {11: 1, 6: 1, 5: 1, 4: 1, 3: 1}, 20) is None  # 5 and 4 are longer than 6, and 4 than 3
+
+
 def test_plan_packs_everything_in_any_number():
     rnd = random.Random(3)
     for scale in (1, 10_000):

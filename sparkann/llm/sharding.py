@@ -1,19 +1,18 @@
 """Sharding by vector bin packing (operator 1).
 
 Rows with equal texts are a group; a group has three weights: bytes, tokens (words) and rows. Each shard may take a fair
-share of all three. A group goes to the shard where the dot product of its weights with the shard's residual capacity,
-both in fair shares, is highest; heavier groups choose first.
+share of all three. A group goes, whole, to the shard where the dot product of its weights with the shard's residual
+capacity, both in fair shares, is highest; heavier groups choose first.
 
-Groups that hold more than 1 / HEAVY of all bytes, tokens or rows are at most 3 * HEAVY. The driver places them first,
-and cuts those beyond 1 / SPLIT of the total into parts by a hash of the row, so that no group, however large, forces a
-shard beyond its share. All other groups are hashed to tasks. Each task fills its own part of what the heavy groups left
-free in each shard, by the same rule, so that the parts add up to even shards. Texts are never shuffled: only keys
-(128-bit digests) and weights are. Slots are counted within each task's rows; one row per task and shard says where the
-task's slots begin.
+Groups that hold more than 1 / HEAVY of all bytes, tokens or rows are at most 3 * HEAVY. The driver places them first. All
+other groups are hashed to tasks, GROUPS to each or fewer, whatever their number of rows. Each task fills its own part of what
+the heavy groups left free in each shard, by the same rule, so that the parts add up to even shards. Texts are never
+shuffled: only keys (128-bit digests) and weights are. Slots are counted within each task's rows; one row per task and shard
+says where the task's slots begin.
 
 Defined results: null text counts as empty (size 1, the group of empty texts); repeated rows are rows of one group, and
-each gets a slot of its own; a null doc_id stays null; an empty table gives an empty result; a text larger than a fair
-share stays whole and its shard is larger. Columns other than doc_id and text are ignored.
+each gets a slot of its own; a null doc_id stays null; an empty table gives an empty result; a group larger than a fair
+share stays whole and its shard is larger, the others even. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -22,14 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkann.llm.common import documents, key128, written
+from sparkann.llm.common import documents, key128, shuffle_partitions, written
 
 SHARDS = 8
-HEAVY, SPLIT = 4096, 64
+HEAVY, GROUPS = 4096, 200_000
 WEIGHTS = ("bytes", "tokens", "rows")
 
 
@@ -56,7 +56,7 @@ class Shards:
 def rows_of(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     tokens = F.regexp_count(text, F.lit("[^ \\t-\\r]+")).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), tokens.alias("tokens"), key128(F.col("text")).alias("key"), F.monotonically_increasing_id().alias("row"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), tokens.alias("tokens"), key128(F.col("text")).alias("key"))
 
 
 def weights(rows: DataFrame, *keys: str) -> DataFrame:
@@ -71,7 +71,9 @@ def filler(total: np.ndarray, free: np.ndarray):
         if not parts:
             return
         keys = pa.chunked_array([x for x, _ in parts]).combine_chunks()
-        share = np.concatenate([x for _, x in parts]) / total
+        by_key = pc.sort_indices(keys)  # rows come in any order; the choice must not depend on it
+        keys = keys.take(by_key)
+        share = np.concatenate([x for _, x in parts])[by_key.to_numpy()] / total
         part = free / np.maximum(free.sum(axis=0), 1e-12) * share.sum(axis=0)  # this task's capacity: its own weight, dealt as the free room is
         shards = Shards(part, first=keys[0].as_py()[0])
         out = np.empty(len(share), np.int32)
@@ -107,26 +109,18 @@ def assign(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
         return rows.withColumn("shard", F.lit(0))
     total = np.maximum(np.array(total, float), 1)
     share = F.greatest(*(F.col(x) / float(t) for x, t in zip(WEIGHTS, total, strict=True)))
-    heavy = {bytes(r["key"]): max(1, int(np.ceil(r["share"] * SPLIT))) if r["share"] > 1 / SPLIT else 1 for r in groups.select("key", share.alias("share")).where(F.col("share") > 1 / HEAVY).collect()}  # 3 * HEAVY at most
-    parts = spark.createDataFrame([(bytearray(k), n) for k, n in heavy.items()], "key binary, parts int")
-    cut = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
-    hot = rows.join(F.broadcast(parts), "key").withColumn("part", cut)
-    loads = np.zeros((shards, 3))
-    chosen = []
-    if heavy:
-        place = Shards(np.full((shards, 3), 1 / shards))
-        items = [(bytes(r["key"]), r["part"], [r[x] / t for x, t in zip(WEIGHTS, total, strict=True)]) for r in weights(hot, "key", "part").collect()]  # 3 * HEAVY + 3 * SPLIT at most
-        for key, part, w in sorted(items, key=lambda x: (-max(x[2]), x[0], x[1])):
-            s = place.place(w)
-            loads[s] += w
-            chosen.append((bytearray(key), part, s))
+    heavy = [(bytes(r["key"]), [r[x] / t for x, t in zip(WEIGHTS, total, strict=True)]) for r in groups.where(share > 1 / HEAVY).collect()]  # 3 * HEAVY at most
+    loads, chosen, place = np.zeros((shards, 3)), [], Shards(np.full((shards, 3), 1 / shards))
+    for key, w in sorted(heavy, key=lambda x: (-max(x[1]), x[0])):
+        s = place.place(w)
+        loads[s] += w
+        chosen.append((bytearray(key), s))
     free = np.maximum(1 / shards - loads, 0)
-    names = rows.columns
-    of_heavy = hot.join(F.broadcast(spark.createDataFrame(chosen, "key binary, part int, shard int")), ["key", "part"]).select(*names, "shard")
-    light = F.broadcast(parts.select("key"))
-    choice = written(groups.join(light, "key", "left_anti").select("key", *WEIGHTS).repartition("key").mapInArrow(filler(total, free), "key binary, shard int"), "choices")
-    of_light = rows.join(light, "key", "left_anti").join(choice, "key").select(*names, "shard")
-    return of_heavy.unionByName(of_light)
+    light = groups.where(share <= 1 / HEAVY).select("key", *WEIGHTS)
+    tasks = shuffle_partitions(spark, groups.count() // GROUPS + 1)
+    choice = light.repartition(tasks, "key").mapInArrow(filler(total, free), "key binary, shard int")
+    choice = written(choice.unionByName(spark.createDataFrame(chosen, "key binary, shard int")), "choices")
+    return rows.join(choice, "key")
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:

@@ -2,8 +2,9 @@
 
 A query starts in the clusters whose centroids it scores best with. Each round expands the best open nodes of at most two
 subgroups, collects their neighbours, and fetches at most two more clusters that hold some, by centroid score and after
-pruning; all members of fetched clusters are scored. The number of rounds and of fetches is the same for all queries, so
-that what is fetched gives no more away than that: missing fetches are padded.
+pruning; all members of fetched clusters are scored. With pad, as in private searches, the number of rounds and of fetches is the
+same for all queries, so that what is fetched gives no more away than that: a query that needs fewer clusters or subgroups
+in a round asks for others, drawn by a hash, and ignores them.
 
 State is one table keyed by (qid, node): every scored node with flags that only ever go up (visited, candidate, popped,
 offered), so that a round is a handful of joins for all queries together and its result a maximum by key. Rounds end in
@@ -22,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkann.functions.codes import prune_factor
+from sparkann.functions.codes import join_parts, prune_factor, unpack_id
 from sparkann.functions.vectors import dot
 from sparkann.operators import pir
 from sparkann.operators.evaluate import moving_average
 from sparkann.operators.knn import as_matrix
-from sparkann.operators.layout import renumbered
+from sparkann.operators.layout import Shape, database_cells, encoded_neighbours, renumbered
 from sparkann.sources.scratch import written
 
 FLAGS = ("visited", "candidate", "popped", "offered")
@@ -46,6 +47,7 @@ class SearchConfig:
     prune: bool = True
     batch: bool = True
     is_unsigned: bool = False
+    pad: bool = False
 
     @staticmethod
     def from_flags(flags: str, base: SearchConfig | None = None) -> SearchConfig:
@@ -130,6 +132,46 @@ def private_scorer(queries: DataFrame, members: DataFrame, scheme: pir.Embedding
     return score
 
 
+def private_fetcher(laid: DataFrame, edges: DataFrame, sizes: Shape, lwe: int = 1024, seed: int | None = None) -> Callable[[DataFrame, int], DataFrame]:
+    """The neighbours of wanted subgroups (qid, sg_col) as qid, new_id, nbr_id, nbr_cluster, retrieved through the neighbour scheme."""
+    spark = laid.sparkSession
+    cells = written(database_cells(encoded_neighbours(edges, laid, sizes), laid, sizes), "cells")
+    scheme = pir.NeighbourScheme(sizes, n=lwe)
+    hinted = written(pir.neighbour_hints(cells, scheme), "neighbour-hints")
+    at = laid.select("sg_col", "idx_in_sg", "new_id")
+    ids = laid.select("cluster", "local_idx", F.col("new_id").alias("nbr_id"))
+
+    def fetch(pairs: DataFrame, round_: int) -> DataFrame:
+        wanted = [(r["qid"], r["sg_col"]) for r in pairs.select("qid", "sg_col").orderBy("qid", "sg_col").collect()]  # a few of each query
+        if not wanted:
+            return spark.createDataFrame([], "qid long, new_id long, nbr_id long, nbr_cluster int")
+        got = pir.private_columns(cells, scheme, {i: c for i, (_, c) in enumerate(wanted)}, hinted, None if seed is None else seed + 104729 * round_)
+        cluster, local = unpack_id(F.col("code"), sizes.local_bits)
+        held = pir.column_parts(got, sizes).withColumn("code", join_parts(F.col("parts"))).where("code is not null")
+        names = spark.createDataFrame([(i, q, c) for i, (q, c) in enumerate(wanted)], "ct long, qid long, sg_col int")
+        held = held.join(names, "ct").select("qid", "sg_col", "idx_in_sg", cluster.cast("int").alias("cluster"), local.cast("int").alias("local_idx"))
+        return written(held.join(at, ["sg_col", "idx_in_sg"]).join(ids, ["cluster", "local_idx"]).select("qid", "new_id", "nbr_id", F.col("cluster").alias("nbr_cluster")), "links")
+
+    return fetch
+
+
+def padded_clusters(chosen: DataFrame, scores: DataFrame, most: int, round_: int) -> DataFrame:
+    """qid, cluster: chosen ones and as many others as are missing from most, drawn by a hash."""
+    free = scores.select("qid", "cluster").join(chosen.select("qid", "cluster"), ["qid", "cluster"], "left_anti")
+    free = free.withColumn("nth", F.row_number().over(Window.partitionBy("qid").orderBy(F.xxhash64("qid", "cluster", F.lit(round_)), "cluster")))
+    have = chosen.groupBy("qid").agg(F.count("*").alias("have"))
+    pads = free.join(have, "qid", "left").where(F.col("nth") <= most - F.coalesce("have", F.lit(0)))
+    return chosen.select("qid", "cluster").unionByName(pads.select("qid", "cluster"))
+
+
+def padded_subgroups(wanted: DataFrame, queries: DataFrame, columns: int, most: int, round_: int) -> DataFrame:
+    """qid, sg_col: wanted ones and as many others as are missing from most, drawn by a hash."""
+    have = wanted.groupBy("qid").agg(F.count("*").alias("have"))
+    missing = queries.select("qid").join(have, "qid", "left").withColumn("missing", most - F.coalesce("have", F.lit(0))).where("missing > 0")
+    pads = missing.select("qid", F.explode(F.sequence(F.lit(1).cast("long"), F.col("missing").cast("long"))).alias("nth"))
+    return wanted.select("qid", "sg_col").unionByName(pads.select("qid", F.pmod(F.xxhash64("qid", "nth", F.lit(round_)), F.lit(columns)).cast("int").alias("sg_col")))
+
+
 def flagged(rows: DataFrame, **on: bool | Column) -> DataFrame:
     return rows.select("qid", "new_id", "cluster", "sg_col", "dist", *((on[f] if isinstance(on.get(f), Column) else F.lit(on.get(f, False))).alias(f) for f in FLAGS))
 
@@ -170,15 +212,16 @@ def batch_of(state: DataFrame, cached: DataFrame, ef: int, most: int) -> tuple[D
     return taken, needed.where(F.col("nth") <= most).select("qid", "sg_col")
 
 
-def routed_search(queries: DataFrame, laid: DataFrame, qvectors: DataFrame, edges: DataFrame, centroids: DataFrame, k: int = 10, ef: int = 50, config: SearchConfig | None = None, scorer: Callable[[DataFrame, int], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-    """queries: qid, qvec. laid: a layout. qvectors: node_id, qvec. edges: node_id, slot, nbr (level 0). Returns results (qid,
-    rank, node_id, dist) and stats (one row a query)."""
+def routed_search(queries: DataFrame, laid: DataFrame, qvectors: DataFrame, edges: DataFrame, centroids: DataFrame, k: int = 10, ef: int = 50, config: SearchConfig | None = None, scorer: Callable[[DataFrame, int], DataFrame] | None = None, fetcher: Callable[[DataFrame, int], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """queries: qid, qvec. laid: a layout. qvectors: node_id, qvec. edges: node_id, slot, nbr (level 0). scorer and fetcher: how
+    clusters are scored and neighbours found, plainly if not given. Returns results (qid, rank, node_id, dist) and stats (one
+    row a query)."""
     config = config or SearchConfig()
     spark = queries.sparkSession
     members = laid.join(qvectors.select("node_id", "qvec"), "node_id").select("node_id", "new_id", "cluster", "local_idx", "sg_col", "qvec")
     score = scorer or plain_scorer(queries, members)
-    linked = written(renumbered(edges, laid).select("new_id", "nbr_id", F.col("cluster").alias("nbr_cluster")).distinct(), "linked")
-    sizes = laid.agg(F.count("*"), F.count_distinct("cluster")).first()
+    linked = None if fetcher else written(renumbered(edges, laid).select("new_id", "nbr_id", F.col("cluster").alias("nbr_cluster")).distinct(), "linked")
+    sizes = laid.agg(F.count("*"), F.count_distinct("cluster"), F.max("sg_col")).first()
     factor = prune_factor(sizes[0] // max(1, sizes[1]), config.is_unsigned)
     scores = written(centroid_scores(queries, centroids), "centroid-scores")
     start = written(entries(scores, config.entry_clusters), "entries")
@@ -193,7 +236,11 @@ def routed_search(queries: DataFrame, laid: DataFrame, qvectors: DataFrame, edge
         taken, wanted = batch_of(state, cached, ef, config.subgroups_per_round)
         taken = written(taken, "taken")
         cached = written(cached.unionByName(wanted.select("qid", F.col("sg_col").cast("int").alias("sg_col"))), "cached")
-        near = taken.join(linked, "new_id").select("qid", F.col("nbr_id").alias("new_id"), F.col("nbr_cluster").alias("nbr_cluster")).distinct()
+        if fetcher:
+            asked = padded_subgroups(wanted, queries, (sizes[2] or 0) + 1, config.subgroups_per_round, i) if config.pad else wanted
+            fetched_links = fetcher(asked, i)
+            linked = fetched_links if linked is None else written(linked.unionByName(fetched_links).distinct(), "linked")
+        near = taken.join(linked, ["qid", "new_id"] if fetcher else "new_id").select("qid", F.col("nbr_id").alias("new_id"), F.col("nbr_cluster").alias("nbr_cluster")).distinct()
         known = written(near.join(state, ["qid", "new_id"], "left"), "near")
         here = known.where("dist is not null and not visited")
         waiting = written(waiting.unionByName(known.where("dist is null").select("qid", "new_id", F.col("nbr_cluster").alias("cluster"))).distinct(), "waiting")
@@ -207,7 +254,11 @@ def routed_search(queries: DataFrame, laid: DataFrame, qvectors: DataFrame, edge
         ranked = written(kept.withColumn("nth", F.row_number().over(order)), "ranked")
         chosen = ranked.where(F.col("nth") <= config.clusters_per_round)
         pending = ranked.where(F.col("nth") > config.clusters_per_round).select(pending.columns)
-        fresh = written(score(chosen, i), "fetched")
+        if config.pad:
+            fresh = score(padded_clusters(chosen, scores, config.clusters_per_round, i), i).join(chosen.select("qid", "cluster"), ["qid", "cluster"], "left_semi")
+        else:
+            fresh = score(chosen, i)
+        fresh = written(fresh.select("qid", "new_id", "cluster", "sg_col", "dist"), "fetched")
         reached = fresh.join(waiting.select("qid", "new_id"), ["qid", "new_id"], "left_semi")
         rest = fresh.join(waiting.select("qid", "new_id"), ["qid", "new_id"], "left_anti")
         waiting = waiting.join(chosen.select("qid", "cluster"), ["qid", "cluster"], "left_anti").select("qid", "new_id", "cluster")
@@ -222,7 +273,8 @@ def routed_search(queries: DataFrame, laid: DataFrame, qvectors: DataFrame, edge
     stats = stats.join(state.groupBy("qid").agg(F.count("*").alias("nodes_scored"), F.count_if("visited").alias("nodes_visited")), "qid", "left")
     per_round = config.clusters_per_round + config.subgroups_per_round
     stats = stats.na.fill(0).withColumns({"embedding_requests": F.lit(config.entry_clusters + config.rounds * config.clusters_per_round), "neighbour_requests": F.lit(config.rounds * config.subgroups_per_round), "round_trips": F.lit(1 + config.rounds * (2 if config.batch else per_round))})
-    return out, stats
+    padded = {f"{x}_padded": F.col(f"{r}_requests") - F.col(f"{x}_fetched") if config.pad else F.lit(0).cast("long") for x, r in (("clusters", "embedding"), ("subgroups", "neighbour"))}
+    return out, stats.withColumns(padded)
 
 
 def pool_size(history: list[float], ef: int, clusters: int) -> int:

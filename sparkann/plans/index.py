@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,23 +86,28 @@ class Index:
         return queries.select("qid", self.quantizer("vec").alias("qvec"))
 
     def search(self, queries: DataFrame, k: int = 10, ef: int = 50, flags: str = "", private: bool = False, lwe: int = 1024, seed: int | None = None) -> tuple[DataFrame, DataFrame]:
-        """Results and statistics of queries (qid, vec), plain or through the embedding scheme."""
+        """Results and statistics of queries (qid, vec), plain or through the embedding and neighbour schemes, then padded."""
         t = self.tables
         asked = self.quantized(queries)
         config = search.SearchConfig.from_flags(flags, search.SearchConfig(is_unsigned=self.quantizer.is_unsigned))
-        scorer = None
+        scorer = fetcher = None
+        ground = t["edges"].where("level = 0").select("node_id", "slot", "nbr")
         if private:
             members = t["layout"].join(t["vectors"], "node_id")
             dim, clusters = members.select(F.size("qvec")).first()[0], t["layout"].agg(F.max("cluster")).first()[0] + 1
             scorer = search.private_scorer(asked, members, pir.EmbeddingScheme(clusters, dim, n=lwe), seed)
-        return search.routed_search(asked, t["layout"], t["vectors"], t["edges"].where("level = 0").select("node_id", "slot", "nbr"), t["centroids"], k, ef, config, scorer)
+            fetcher = search.private_fetcher(t["layout"], ground, self.shape(), lwe, seed)
+            config = replace(config, pad=True)
+        return search.routed_search(asked, t["layout"], t["vectors"], ground, t["centroids"], k, ef, config, scorer, fetcher)
+
+    def shape(self) -> layout.Shape:
+        laid = self.tables["layout"]
+        per_column = laid.agg(F.max("idx_in_sg")).first()[0] + 1
+        return layout.shape(laid, per_column, self.tables["edges"].where("level = 0").agg(F.max("slot")).first()[0] + 1)
 
     def report(self, results: DataFrame, stats: DataFrame, truth: DataFrame, path: str, k: int = 10, relevant: DataFrame | None = None) -> dict:
         """Recall, reciprocal rank (by judgments if there are any, else by the truth), summaries and traffic; written to path."""
-        laid = self.tables["layout"]
-        per_column = laid.groupBy("sg_col").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-        slots = self.tables["edges"].where("level = 0").agg(F.max("slot")).first()[0] + 1
-        sizes = layout.shape(laid, per_column, slots)
+        sizes = self.shape()
         first = stats.first()
         dim = self.tables["vectors"].select(F.size("qvec")).first()[0]
         out = {

@@ -292,6 +292,32 @@ def graph_partition(spark, sf_dir):
     return cluster.partition_graph(edges(spark, sf_dir), vectors(spark, sf_dir), 10)
 
 
+@query("SELECT count(*) AS nodes, 10::BIGINT AS parts, true AS balanced FROM embeddings")
+def partition_checks(spark, sf_dir):
+    """Every node has one of ten parts, none of which is over its limit by more than a node."""
+    sizes = cluster.cluster_sizes(graph_partition(spark, sf_dir))
+    total = F.sum("size")
+    return sizes.agg(total.alias("nodes"), F.count("*").alias("parts"), (F.max("size") <= (1 + cluster.IMBALANCE) * total / 10 + 1).alias("balanced"))
+
+
+@query("SELECT count(*) AS nodes, true AS pairs_at_most, true AS mutual FROM embeddings")
+def matching_checks(spark, sf_dir):
+    """Groups of a matching hold two nodes at most, named by the smaller one."""
+    groups = heavy_edge_matching(spark, sf_dir).groupBy("into").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    return groups.agg(F.sum("n").alias("nodes"), (F.max("n") <= 2).alias("pairs_at_most"), F.bool_and(F.col("least") == F.col("into")).alias("mutual"))
+
+
+@query("SELECT count(*) AS nodes, true AS within_degree, true AS no_loops, true AS ends_exist FROM embeddings")
+def graph_checks(spark, sf_dir):
+    """Of a built graph: every node has level 0 edges, at most 2 M there and M above, none to itself, all to nodes."""
+    found = graph_build(spark, sf_dir)
+    degrees = found.groupBy("node_id", "level").agg(F.count("*").alias("n"), F.max((F.col("node_id") == F.col("nbr")).cast("int")).alias("loop"))
+    most = F.when(F.col("level") == 0, 2 * M).otherwise(M)
+    out = degrees.agg(F.count_if(F.col("level") == 0).alias("nodes"), F.bool_and(F.col("n") <= most).alias("within_degree"), (F.max("loop") == 0).alias("no_loops"))
+    lost = found.join(vectors(spark, sf_dir).select(F.col("node_id").alias("nbr")), "nbr", "left_anti").agg((F.count("*") == 0).alias("ends_exist"))
+    return out.join(lost, F.lit(True))
+
+
 def built(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return graph.build_graph(vectors(spark, sf_dir), m=M, ef_construction=64)
 
@@ -335,6 +361,13 @@ def renumber_bfs(spark, sf_dir):
     return layout.layout(a, SUBGROUP, graph.cluster_bfs(a, e))
 
 
+@query("SELECT label AS cluster, count(*) AS nodes, true AS dense FROM embeddings GROUP BY label")
+def bfs_checks(spark, sf_dir):
+    """New ids in breadth-first order are dense within each cluster, and local indices count them."""
+    held = renumber_bfs(spark, sf_dir).groupBy("cluster").agg(F.count("*").alias("nodes"), F.count_distinct("new_id").alias("ids"), (F.max("new_id") - F.min("new_id") + 1).alias("width"), F.max("local_idx").alias("last"))
+    return held.select("cluster", "nodes", ((F.col("ids") == F.col("nodes")) & (F.col("width") == F.col("nodes")) & (F.col("last") == F.col("nodes") - 1)).alias("dense"))
+
+
 @query(f"""WITH {EDGES}, {LAYOUT}, g AS (SELECT a.new_id, b.cluster, b.subgroup, list(b.idx_in_sg ORDER BY e.slot) AS locals FROM e JOIN l a ON a.node_id = e.node_id JOIN l b ON b.node_id = e.nbr GROUP BY ALL)
 SELECT new_id, cluster, subgroup, array_to_string(locals, ',') AS locals FROM g""")
 def neighbor_groups(spark, sf_dir):
@@ -477,6 +510,21 @@ def search_stats(spark, sf_dir):
     return routed(spark, sf_dir)[1]
 
 
+def reached(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """Whether nine tenths of the truth were found."""
+    return evaluate.recall(found, truth, K).select("queries", "truths", (F.col("recall") >= 0.9).alias("reached"))
+
+
+ASKED = f"SELECT count(*) AS queries, count(*) * {K} AS truths, true AS reached FROM embeddings WHERE vec_id % {EVERY} = 0"
+
+
+@query(ASKED)
+def beam_recall(spark, sf_dir):
+    """Beam search over the built graph against the exact top 10 by distance."""
+    v = vectors(spark, sf_dir)
+    return reached(graph_beam_search(spark, sf_dir), knn.exact_topk(query_rows(v), v, K, "l2"))
+
+
 TOP = f"{PAIRS}, d AS (SELECT qid, node_id, -ip AS dist FROM p WHERE qid % {EVERY} = 0), t AS ({RANKED})"
 BY_L2 = f"x AS (SELECT a.vec_id AS qid, b.vec_id AS node_id, list_sum(list_transform(list_zip(a.qv, b.qv), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS dist FROM q a JOIN q b ON a.vec_id <> b.vec_id WHERE a.vec_id % {EVERY} = 0), y AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY dist, node_id) AS rank, node_id FROM x QUALIFY rank <= 10)"
 

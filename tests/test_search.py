@@ -56,6 +56,30 @@ def test_private_search_finds_the_same(index):
     assert evaluate.recall(found, truth.where("qid < 3"), 10).first()["recall"] >= 0.6
 
 
+def test_private_fetches_are_padded_and_find_the_plain_neighbours(spark, index):
+    q, laid, edges, centres, asked, _ = index
+    few = asked.where("qid < 3").cache()
+    sizes = layout.shape(laid, 8, 6)
+    config = search.SearchConfig(rounds=2, pad=True)
+    held = q.select("node_id", "qvec")
+    plain, stats = search.routed_search(few, laid, held, edges, centres, 10, 50, config)
+    through, _ = search.routed_search(few, laid, held, edges, centres, 10, 50, config, fetcher=search.private_fetcher(laid, edges, sizes, 32, 7))
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, through.collect()))
+    for r in stats.collect():
+        assert r.clusters_fetched + r.clusters_padded == r.embedding_requests == 5
+        assert r.subgroups_fetched + r.subgroups_padded == r.neighbour_requests == 4
+
+
+def test_padding_fills_every_round(spark):
+    scores = spark.createDataFrame([(q, c, 0) for q in (1, 2) for c in range(5)], "qid long, cluster int, cent_dist long")
+    chosen = spark.createDataFrame([(1, 3)], "qid long, cluster int")
+    got = [(r.qid, r.cluster) for r in search.padded_clusters(chosen, scores, 2, 1).collect()]
+    assert len(got) == len(set(got)) == 4 and (1, 3) in got and sum(q == 2 for q, _ in got) == 2
+    wanted = spark.createDataFrame([(1, 7)], "qid long, sg_col int")
+    got = [(r.qid, r.sg_col) for r in search.padded_subgroups(wanted, scores.select("qid").distinct(), 10, 2, 1).collect()]
+    assert len(got) == 4 and (1, 7) in got and all(0 <= c < 10 for _, c in got)
+
+
 def test_flags():
     c = search.SearchConfig.from_flags("no_prune,no_topcand,no_batch,rounds_3,centroid_entry_2")
     assert (c.prune, c.top_candidates, c.batch, c.rounds, c.entry_clusters) == (False, 0, False, 3, 2)

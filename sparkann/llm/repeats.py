@@ -24,7 +24,8 @@ run the sample gives the new one. So the matching statistics of all places come
 with LENGTH or more are marked, as are their partners. Equal candidates in two places are marked whole.
 
 Passages of so many words or more, however short, are found by the same index over texts in which each word stands as WORD
-bytes of its hash: there a number of words is a number of bytes. What bounds no word is left out of such spans.
+bytes of its hash. There the unit is a word: strings begin at whole words, hashes roll and LF steps go word by word. In plain
+texts the unit is a byte. Lengths, anchors and starts are given in bytes, and are whole units.
 
 Equal texts are handled once; a text of LENGTH bytes or more that stands in two rows repeats as a whole.
 
@@ -56,7 +57,7 @@ WORD = 6
 #: Bytes scanned at a time, and bytes of candidates indexed at a time.
 SCAN, CHUNK = 1 << 20, 1 << 20
 #: Bytes of candidates that one task gathers, about, and bytes of suffixes copied at a time to sort them.
-TASK_BYTES, COPIED = 24 << 20, 32 << 20
+TASK_BYTES, COPIED = 12 << 20, 32 << 20
 MASK = (1 << 64) - 1
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 SEGMENTS = "array<struct<start:long,n:int,anchor:long,hot:boolean>>"
@@ -76,16 +77,26 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of all substrings of a length, from sums of powers modulo 2^64 that differences cut out."""
+    """Hashes of all strings of a length that begin at a unit, from sums of powers modulo 2^64 that differences cut out."""
 
-    def __init__(self, base: int):
+    def __init__(self, base: int, unit: int = 1):
+        self.base, self.unit = np.uint64(base), unit
         self.up, self.down = powers(base, SCAN + 1), powers(pow(base, -1, 1 << 64), SCAN + 1)
-        self.table = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(base)) | np.uint64(1)
+        self.table = self._values(np.arange(256, dtype=np.uint64))
+
+    def _values(self, symbols: np.ndarray) -> np.ndarray:
+        return mixed((symbols + np.uint64(1)) * self.base) | np.uint64(1)
 
     def __call__(self, data: np.ndarray, length: int) -> np.ndarray:
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.table[data] * self.up[: len(data)], out=sums[1:])
-        return mixed((sums[length:] - sums[:-length]) * self.down[: len(data) - length + 1])
+        if self.unit == 1:
+            values = self.table[data]
+        else:
+            symbols = np.zeros((len(data) // self.unit, 8), np.uint8)
+            symbols[:, : self.unit] = data.reshape(-1, self.unit)
+            values, length = self._values(symbols.view("<u8").ravel()), length // self.unit
+        sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * self.up[: len(values)], out=sums[1:])
+        return mixed((sums[length:] - sums[:-length]) * self.down[: len(values) - length + 1])
 
 
 def sliding(values: np.ndarray, width: int, pick: np.ufunc, fill: int) -> np.ndarray:
@@ -102,13 +113,14 @@ def sliding(values: np.ndarray, width: int, pick: np.ufunc, fill: int) -> np.nda
 def segments(texts: list[bytes], rolling: Rolling, length: int, anchor: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Text, start, number of strings, anchor of each segment, and whether its anchor may stand there twice; long texts in
     parts, which cut a segment at most in two."""
-    width = length - anchor + 1
+    unit = rolling.unit
+    width = (length - anchor) // unit + 1
     part: list[tuple[int, int, bytes]] = []
     size = 0
 
     def scanned() -> tuple[np.ndarray, ...]:
         data = np.frombuffer(b"".join(x for _, _, x in part), np.uint8)
-        ends = np.cumsum([len(x) for _, _, x in part])
+        ends = np.cumsum([len(x) for _, _, x in part]) // unit
         begins = np.r_[0, ends[:-1]]
         hashes = rolling(data, anchor)
         least = sliding(hashes, width, np.minimum, MASK)
@@ -119,17 +131,17 @@ def segments(texts: list[bytes], rolling: Rolling, length: int, anchor: int) ->
         chosen = hashes[hashes == sliding(around, width, np.maximum, 0)]
         again = np.unique(chosen[1:][chosen[1:] == chosen[:-1]])
         owner = np.searchsorted(ends, np.arange(len(least)), side="right")
-        valid = np.arange(len(least)) + length <= ends[owner]
+        valid = np.arange(len(least)) + length // unit <= ends[owner]
         new = valid.copy()
         new[1:] &= (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
         at = np.flatnonzero(new)
-        stops = np.minimum(np.r_[at[1:], len(least)], ends[owner[at]] - length + 1)
-        return np.array([i for i, _, _ in part])[owner[at]], np.array([o for _, o, _ in part])[owner[at]] + at - begins[owner[at]], stops - at, least[at], np.isin(least[at], again)
+        stops = np.minimum(np.r_[at[1:], len(least)], ends[owner[at]] - length // unit + 1)
+        return np.array([i for i, _, _ in part])[owner[at]], np.array([o for _, o, _ in part])[owner[at]] + (at - begins[owner[at]]) * unit, stops - at, least[at], np.isin(least[at], again)
 
-    step = SCAN // 2
+    step = SCAN // 2 // unit * unit
     for i, text in enumerate(texts):
         for at in range(0, max(len(text) - length + 1, 0), step):
-            piece = text[at : at + step + length - 1]
+            piece = text[at : at + step + length - unit]
             if part and size + len(piece) > SCAN:
                 yield scanned()
                 part, size = [], 0
@@ -139,13 +151,13 @@ def segments(texts: list[bytes], rolling: Rolling, length: int, anchor: int) ->
         yield scanned()
 
 
-def cut_to_pieces(i: np.ndarray, start: np.ndarray, n: np.ndarray, h: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, ...]:
+def cut_to_pieces(i: np.ndarray, start: np.ndarray, n: np.ndarray, h: np.ndarray, twice: np.ndarray, unit: int) -> tuple[np.ndarray, ...]:
     """Segments as pieces of PIECE strings at most."""
     times = -(-n // PIECE)
     if times.max(initial=1) == 1:
         return i, start, n, h, twice
     shift = (np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)) * PIECE
-    return np.repeat(i, times), np.repeat(start, times) + shift, np.minimum(np.repeat(n, times) - shift, PIECE), np.repeat(h, times), np.repeat(twice, times)
+    return np.repeat(i, times), np.repeat(start, times) + shift * unit, np.minimum(np.repeat(n, times) - shift, PIECE), np.repeat(h, times), np.repeat(twice, times)
 
 
 def keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -156,35 +168,36 @@ def batch_of(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], list(columns))
 
 
-def anchored(length: int, anchor: int):
+def anchored(length: int, anchor: int, unit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = Rolling(BASES[0])
+        rolling = Rolling(BASES[0], unit)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 t1, t2 = keys(part)
                 for found in segments(text_bytes(part["text"]), rolling, length, anchor):
-                    i, start, n, h, twice = cut_to_pieces(*found)
+                    i, start, n, h, twice = cut_to_pieces(*found, unit)
                     yield batch_of(t1=t1[i], t2=t2[i], start=start.astype(np.int64), n=n.astype(np.int32), anchor=h.view(np.int64), twice=twice)
 
     return run
 
 
-def windows(length: int):
+def windows(length: int, unit: int):
     """Two hashes of each string of the hot segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = (Rolling(b) for b in BASES)
+        first, second = (Rolling(b, unit) for b in BASES)
         names = ("t1", "t2", "start", "anchor", "h1", "h2")
         for batch in batches:
             rows: list[tuple] = []
             for t1, t2, text, listed in zip(*(batch[x].to_pylist() for x in ("t1", "t2")), text_bytes(batch["text"]), batch["segments"].to_pylist(), strict=True):
                 data = np.frombuffer(text, np.uint8)
                 for s in listed:
-                    for at in range(s["start"], s["start"] + s["n"], SCAN // 2):
-                        n = min(SCAN // 2, s["start"] + s["n"] - at)
-                        own = data[at : at + n + length - 1]
-                        rows.append((np.full(n, t1), np.full(n, t2), np.arange(at, at + n), np.full(n, s["anchor"]), first(own, length).view(np.int64), second(own, length).view(np.int64)))
+                    step = SCAN // 2 // unit
+                    for done in range(0, s["n"], step):
+                        n, at = min(step, s["n"] - done), s["start"] + done * unit
+                        own = data[at : at + (n - 1) * unit + length]
+                        rows.append((np.full(n, t1), np.full(n, t2), at + unit * np.arange(n), np.full(n, s["anchor"]), first(own, length).view(np.int64), second(own, length).view(np.int64)))
                 if sum(len(r[0]) for r in rows) > 50_000:
                     yield batch_of(**{k: np.concatenate(v) for k, v in zip(names, zip(*rows, strict=True), strict=True)})
                     rows = []
@@ -199,19 +212,19 @@ def content_keys(contents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return found[:, 0].copy(), found[:, 1].copy()
 
 
-def cut_out(batch: pa.RecordBatch, length: int) -> Iterator[tuple[int, int, int, list[dict], list[bytes]]]:
+def cut_out(batch: pa.RecordBatch, length: int, unit: int) -> Iterator[tuple[int, int, int, list[dict], list[bytes]]]:
     for t1, t2, copies, data, listed in zip(*(batch[x].to_pylist() for x in ("t1", "t2", "copies")), text_bytes(batch["text"]), batch["segments"].to_pylist(), strict=True):
         listed.sort(key=lambda s: s["start"])
-        yield t1, t2, copies, listed, [data[s["start"] : s["start"] + s["n"] + length - 1] for s in listed]
+        yield t1, t2, copies, listed, [data[s["start"] : s["start"] + (s["n"] - 1) * unit + length] for s in listed]
 
 
-def places(length: int):
+def places(length: int, unit: int):
     """Where each candidate content stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                own = [(t1, t2, s["start"], s["anchor"], c) for t1, t2, _, listed, found in cut_out(batch.slice(at, 256), length) for s, c in zip(listed, found, strict=True)]
+                own = [(t1, t2, s["start"], s["anchor"], c) for t1, t2, _, listed, found in cut_out(batch.slice(at, 256), length, unit) for s, c in zip(listed, found, strict=True)]
                 if own:
                     t1, t2, start, anchor, found = zip(*own, strict=True)
                     c1, c2 = content_keys(found)
@@ -220,7 +233,7 @@ def places(length: int):
     return run
 
 
-def contents(length: int):
+def contents(length: int, unit: int):
     """Each content once with the number of its places in this task; memory is bounded by giving out what has gathered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +247,7 @@ def contents(length: int):
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                for _, _, copies, listed, own in cut_out(batch.slice(at, 256), length):
+                for _, _, copies, listed, own in cut_out(batch.slice(at, 256), length, unit):
                     for s, c in zip(listed, own, strict=True):
                         key = (s["anchor"], c)
                         size += len(c) if key not in held else 0
@@ -249,26 +262,25 @@ def contents(length: int):
 
 
 class RunLengthIndex:
-    """Run-compressed Burrows-Wheeler transform of strings, over the suffixes of at least length bytes."""
+    """Run-compressed Burrows-Wheeler transform of strings, over the suffixes of at least length bytes that begin at a unit."""
 
-    def __init__(self, strings: list[bytes], length: int):
-        self.length = length
+    def __init__(self, strings: list[bytes], length: int, unit: int = 1):
+        self.length, self.unit = length, unit
         sizes = np.array([len(x) for x in strings], np.int64)
         self.begins = np.r_[0, np.cumsum(sizes + 1)[:-1]]
         self.stops = self.begins + sizes
         self.text = b"\0".join(strings) + b"\0" * 9
-        self.data = np.frombuffer(self.text, np.uint8)
         self.words = np.ndarray((len(self.text) - 7,), "<u8", self.text, strides=(1,))
-        self.counts = np.maximum(sizes - length + 1, 0)
+        self.counts = np.maximum((sizes - length) // unit + 1, 0)
         owner = np.repeat(np.arange(len(strings)), self.counts)
-        starts = np.arange(len(owner)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts) + self.begins[owner]
+        starts = (np.arange(len(owner)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)) * unit + self.begins[owner]
         suffixes, owner = self._sorted(starts, owner)
         row_of = np.full(len(self.text), -1, np.int64)
         row_of[suffixes] = np.arange(len(suffixes))
-        # The byte before each suffix, and the row of the suffix that begins there; a string's first has none.
+        # The symbol (a unit) before each suffix, and the row of the suffix that begins there; a string's first has none.
         inside = suffixes > self.begins[owner]
-        before = np.where(inside, self.data[suffixes - 1].astype(np.int16), -1)
-        leads = np.where(inside, row_of[suffixes - 1], -1)
+        before = np.where(inside, (self.words[suffixes - unit] & np.uint64((1 << 8 * unit) - 1)).astype(np.int64), -1)
+        leads = np.where(inside, row_of[suffixes - unit], -1)
         heads = np.ones(len(suffixes), bool)
         heads[1:] = (before[1:] != before[:-1]) | (leads[1:] != leads[:-1] + 1) | ~inside[1:]
         #: Runs: first row, byte, row to which the first leads; and the sample there.
@@ -324,7 +336,7 @@ class RunLengthIndex:
             out[left[stop]] = done + (np.log2(low.astype(np.float64)).astype(np.int64) >> 3)
             left, done = left[~stop], done + 8
             left = left[most[left] > done]
-        return np.minimum(out, most)
+        return np.minimum(out, most) // self.unit * self.unit
 
     def matches(self) -> np.ndarray:
         """Whether a match of length bytes with another place begins at each place, from matching statistics streamed over all
@@ -339,7 +351,7 @@ class RunLengthIndex:
             long = common >= self.length
             found[place[long]] = True
             found[other[long]] = True
-            row, place, other, common = row[:alive], place[:alive] - 1, other[:alive] - 1, common[:alive] + 1
+            row, place, other, common = row[:alive], place[:alive] - self.unit, other[:alive] - self.unit, common[:alive] + self.unit
             run = np.searchsorted(self.first, row, side="right") - 1
             into = row - self.first[run]
             row = self.leads[run] + into
@@ -361,7 +373,7 @@ def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def indexed(length: int):
+def indexed(length: int, unit: int):
     """Marked runs of each content of the task's hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,7 +398,7 @@ def indexed(length: int):
                 bounds.append([g, h])
                 begun = sizes[g:h].sum()
         for g, h in bounds:
-            index = RunLengthIndex([x.as_py() for x in held[g:h]], length)
+            index = RunLengthIndex([x.as_py() for x in held[g:h]], length, unit)
             mask = index.marked()
             for i in np.flatnonzero(n[g:h] > 1).tolist():
                 mask[index.begins[i] : index.stops[i]] = True
@@ -404,11 +416,11 @@ def with_keys(docs: DataFrame, *more: Column | str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), half(1).alias("t1"), half(9).alias("t2"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
-def repeats(keyed: DataFrame, texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+def repeats(keyed: DataFrame, texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, unit: int = 1) -> tuple[DataFrame, DataFrame]:
     """keyed: doc_id, t1, t2, text. texts: t1, t2, copies, least (doc_id). Returns texts with candidates (t1, t2, copies, text) and
     their repeated spans (t1, t2, spans), which may overlap."""
     spark = keyed.sparkSession
-    found = written(keyed.select("t1", "t2", "text").mapInArrow(anchored(length, anchor), "t1 long, t2 long, start long, n int, anchor long, twice boolean"), "anchors")
+    found = written(keyed.select("t1", "t2", "text").mapInArrow(anchored(length, anchor, unit), "t1 long, t2 long, start long, n int, anchor long, twice boolean"), "anchors")
     place = F.xxhash64("t1", "t2", "start")
     several = found.groupBy("anchor").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("places"), F.max("twice").alias("twice"))
     several = written(several.where("low <> high or twice").select("anchor", (F.col("places") > hot).alias("hot")), "repeated-anchors")
@@ -418,27 +430,27 @@ def repeats(keyed: DataFrame, texts: DataFrame, length: int = LENGTH, anchor: in
     held = written(held, "candidates")
     cold = held.withColumn("segments", F.filter("segments", lambda s: ~s["hot"])).where(F.size("segments") > 0)
     if several.where("hot").limit(1).count():
-        cold = cold.unionByName(written(trimmed(held.withColumn("segments", F.filter("segments", lambda s: s["hot"])).where(F.size("segments") > 0), length), "trimmed"))
-    total = cold.agg(F.sum(F.aggregate("segments", F.lit(0).cast("long"), lambda s, x: s + x["n"] + length))).first()[0] or 0
-    given = cold.mapInArrow(contents(length), "anchor long, c1 long, c2 long, n long, content binary")
-    marks = given.repartition(shuffle_partitions(spark, total // TASK_BYTES + 1), "anchor").mapInArrow(indexed(length), "anchor long, c1 long, c2 long, a long, b long")
+        cold = cold.unionByName(written(trimmed(held.withColumn("segments", F.filter("segments", lambda s: s["hot"])).where(F.size("segments") > 0), length, unit), "trimmed"))
+    total = cold.agg(F.sum(F.aggregate("segments", F.lit(0).cast("long"), lambda s, x: s + x["n"] * unit + length))).first()[0] or 0
+    given = cold.mapInArrow(contents(length, unit), "anchor long, c1 long, c2 long, n long, content binary")
+    marks = given.repartition(shuffle_partitions(spark, total // TASK_BYTES + 1), "anchor").mapInArrow(indexed(length, unit), "anchor long, c1 long, c2 long, a long, b long")
     marks = written(marks, "marks")
-    where = cold.select("t1", "t2", "copies", "text", "segments").mapInArrow(places(length), "t1 long, t2 long, start long, anchor long, c1 long, c2 long")
+    where = cold.select("t1", "t2", "copies", "text", "segments").mapInArrow(places(length, unit), "t1 long, t2 long, start long, anchor long, c1 long, c2 long")
     spans = where.join(marks, ["anchor", "c1", "c2"]).select("t1", "t2", F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b")).alias("span"))
     return held.select("t1", "t2", "copies", "text"), spans.groupBy("t1", "t2").agg(F.collect_set("span").alias("spans"))
 
 
-def refined(length: int, anchor: int):
+def refined(length: int, anchor: int, unit: int):
     """The segments of each text anew, each cut where a finer anchor changes, which depends on a string alone as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = Rolling(BASES[1])
+        rolling = Rolling(BASES[1], unit)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int32()), ("anchor", pa.int64()), ("hot", pa.bool_())]))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 lists = []
-                for _, _, _, listed, found in cut_out(part, length):
+                for _, _, _, listed, found in cut_out(part, length, unit):
                     own = []
                     for i, start, n, h, _ in segments(found, rolling, length, anchor):
                         base = np.array([s["start"] for s in listed], np.int64)[i]
@@ -449,20 +461,20 @@ def refined(length: int, anchor: int):
     return run
 
 
-def trimmed(held: DataFrame, length: int) -> DataFrame:
+def trimmed(held: DataFrame, length: int, unit: int) -> DataFrame:
     """Segments of very common anchors, cut to the runs of strings whose own hashes stand in two places or more, and these to
     segments of finer anchors."""
-    strings = written(held.mapInArrow(windows(length), "t1 long, t2 long, start long, anchor long, h1 long, h2 long"), "windows")
+    strings = written(held.mapInArrow(windows(length, unit), "t1 long, t2 long, start long, anchor long, h1 long, h2 long"), "windows")
     place = F.xxhash64("t1", "t2", "start")
     several = strings.groupBy("h1", "h2").agg(F.min(place).alias("low"), F.max(place).alias("high"))
     several = written(several.where("low <> high").select("h1", "h2"), "repeated-windows")
     # A run's strings minus their numbers are one value.
     number = F.row_number().over(Window.partitionBy("t1", "t2", "anchor").orderBy("start"))
-    kept = strings.join(several, ["h1", "h2"]).select("t1", "t2", "anchor", "start", (F.col("start") - number).alias("run"))
+    kept = strings.join(several, ["h1", "h2"]).select("t1", "t2", "anchor", "start", (F.col("start") - number * unit).alias("run"))
     runs = kept.groupBy("t1", "t2", "anchor", "run").agg(F.min("start").alias("start"), F.count("*").cast("int").alias("n"))
     lists = runs.groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "n", "anchor", F.lit(True).alias("hot"))).alias("segments"))
     found = held.drop("segments").join(written(lists, "trimmed-lists"), ["t1", "t2"]).select("t1", "t2", "copies", "text", "segments")
-    return found.mapInArrow(refined(length, length - length // 8), found.schema)
+    return found.mapInArrow(refined(length, length - length // unit // 8 * unit, unit), found.schema)
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -546,7 +558,7 @@ def passage_counts(words: int):
 
 def in_words(keyed: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """t1, t2, spans (of the coded text): passages of so many words or more that stand twice, in texts that stand once."""
-    return repeats(keyed.mapInArrow(coded(words), "doc_id long, t1 long, t2 long, text binary"), texts, words * WORD, words // 2 * WORD)[1]
+    return repeats(keyed.mapInArrow(coded(words), "doc_id long, t1 long, t2 long, text binary"), texts, words * WORD, words // 2 * WORD, unit=WORD)[1]
 
 
 def repeated_passages(keyed: DataFrame, texts: DataFrame, words: int = PASSAGE) -> DataFrame:

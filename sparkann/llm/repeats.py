@@ -55,7 +55,7 @@ PIECE, PASSAGE = 1024, 51
 #: Bytes that stand for a word.
 WORD = 6
 #: Bytes scanned at a time, and bytes of candidates indexed at a time.
-SCAN, CHUNK = 1 << 20, 1 << 20
+SCAN, CHUNK = 1 << 18, 1 << 19
 #: Bytes of candidates that one task gathers, about, and bytes of suffixes copied at a time to sort them.
 TASK_BYTES, COPIED = 12 << 20, 32 << 20
 MASK = (1 << 64) - 1

@@ -17,6 +17,7 @@ whole component has no doc_id; an empty table gives an empty result. Columns oth
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,18 +36,18 @@ ROWS_PER_TASK = 1_000_000
 CHUNK = 1 << 16
 
 
-def fingerprint(text: bytes) -> int:
-    """The fingerprint of one text, as an unsigned integer."""
+def fingerprint(text: bytes, width: int = SHINGLE) -> int:
+    """The fingerprint of one text, as an unsigned integer, by shingles of width words."""
     words = text.lower().split()
     if not words:
         return 0
     joined = b" ".join(words)
-    if len(words) <= SHINGLE:
+    if len(words) <= width:
         return xxhash.xxh64_intdigest(joined, SEED)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths)[: 1 - SHINGLE].tolist()
-    stops = ends[SHINGLE - 1 :].tolist()
+    starts = (ends - lengths)[: 1 - width].tolist()
+    stops = ends[width - 1 :].tolist()
     digest, n = xxhash.xxh64_intdigest, len(starts)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, CHUNK):
@@ -70,25 +71,28 @@ def fingerprints(docs: DataFrame, *carried: str) -> DataFrame:
     return slim.mapInArrow(fingerprinted, T.StructType([*T.StructType.fromDDL("doc_id long, fp long").fields, *slim.schema.fields[2:]]))
 
 
-def flips() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each variant: the bits kept, the bits flipped and the mark of the block left out."""
+def flips(blocks: tuple[tuple[int, int], ...] = BLOCKS, out: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each variant: the bits kept, the bits flipped and the mark of the blocks left out, out of them at a time."""
     rows = []
-    for block, (low, high) in enumerate(BLOCKS):
-        keep = ((1 << 64) - 1) ^ ((1 << high) - (1 << low))
-        rows += [(keep, flip, (block + 1) << low) for flip in (0, *(1 << i for i in range(64) if not low <= i < high))]
+    for i, gone in enumerate(combinations(blocks, out)):
+        keep = ((1 << 64) - 1) ^ sum((1 << high) - (1 << low) for low, high in gone)
+        rows += [(keep, flip, (i + 1) << gone[0][0]) for flip in (0, *(1 << b for b in range(64) if keep >> b & 1))]
     return tuple(np.array(x, np.uint64) for x in zip(*rows, strict=True))
 
 
-def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keep, flip, mark = flips()
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            fp = batch["fp"].slice(at, 512).to_numpy(zero_copy_only=False).view(np.uint64)[:, None]
-            keys = (((fp & keep) ^ flip) | mark).view(np.int64).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(fp.view(np.int64).ravel(), len(keep)))], ["variant", "fp"])
+def variants(blocks: tuple[tuple[int, int], ...] = BLOCKS, out: int = 1):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep, flip, mark = flips(blocks, out)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                fp = batch["fp"].slice(at, 512).to_numpy(zero_copy_only=False).view(np.uint64)[:, None]
+                keys = (((fp & keep) ^ flip) | mark).view(np.int64).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(fp.view(np.int64).ravel(), len(keep)))], ["variant", "fp"])
 
+    return run
 
-def forest(fps: np.ndarray) -> list[tuple[int, int]]:
+
+def forest(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     """A spanning forest of the links among the fingerprints of one variant; each is compared with those not yet reached."""
     rest, found, queue = fps, [], []
     while queue or len(rest):
@@ -96,7 +100,7 @@ def forest(fps: np.ndarray) -> list[tuple[int, int]]:
             seed = queue.pop()
         else:
             seed, rest = rest[0], rest[1:]
-        near = np.bitwise_count(rest ^ seed) <= RADIUS
+        near = np.bitwise_count(rest ^ seed) <= radius
         if near.any():
             reached, rest = rest[near], rest[~near]
             found += [(seed, x) for x in reached]
@@ -104,35 +108,42 @@ def forest(fps: np.ndarray) -> list[tuple[int, int]]:
     return found
 
 
-def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def matched(radius: int = RADIUS):
     """The verified links of one task's variants."""
-    parts = [(b["variant"].to_numpy(zero_copy_only=False), b["fp"].to_numpy(zero_copy_only=False).view(np.uint64)) for b in batches if b.num_rows]
-    if not parts:
-        return
-    key, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((fp, key))
-    key, fp = key[order], fp[order]
-    fresh = np.r_[True, (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])]
-    key, fp = key[fresh], fp[fresh]
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    sizes = np.diff(np.r_[starts, len(key)])
-    two = starts[sizes == 2]
-    a, b = fp[two], fp[two + 1]
-    near = np.bitwise_count(a ^ b) <= RADIUS
-    links = [np.stack([a[near], b[near]], axis=1)]
-    for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-        links.append(np.array(forest(fp[start : start + size]), np.uint64).reshape(-1, 2))
-    found = np.unique(np.concatenate(links), axis=0).view(np.int64)
-    if len(found):
-        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
-
-
-def ball_links(fps: DataFrame) -> DataFrame:
-    """Links a, b between distinct fingerprints (column fp) that connect all that differ in RADIUS bits or fewer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b["variant"].to_numpy(zero_copy_only=False), b["fp"].to_numpy(zero_copy_only=False).view(np.uint64)) for b in batches if b.num_rows]
+        if not parts:
+            return
+        key, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((fp, key))
+        key, fp = key[order], fp[order]
+        fresh = np.r_[True, (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])]
+        key, fp = key[fresh], fp[fresh]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[starts, len(key)])
+        two = starts[sizes == 2]
+        a, b = fp[two], fp[two + 1]
+        near = np.bitwise_count(a ^ b) <= radius
+        links = [np.stack([a[near], b[near]], axis=1)]
+        for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            links.append(np.array(forest(fp[start : start + size], radius), np.uint64).reshape(-1, 2))
+        found = np.unique(np.concatenate(links), axis=0).view(np.int64)
+        if len(found):
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
+
+    return run
+
+
+def ball_links(fps: DataFrame, radius: int = RADIUS, blocks: tuple[tuple[int, int], ...] = BLOCKS, out: int = 1) -> DataFrame:
+    """Links a, b between distinct fingerprints (column fp) that connect all that differ in radius bits or fewer. Blocks that
+    are not left out differ in two bits at most, if those are left out in which a pair differs most."""
+    if radius * (len(blocks) - out) // len(blocks) > 2:
+        raise ValueError("balls of radius 1 do not meet")
     spark = fps.sparkSession
-    parts = shuffle_partitions(spark, fps.count() * len(flips()[0]) // ROWS_PER_TASK + 1)
-    emitted = fps.mapInArrow(variants, "variant long, fp long")
-    return emitted.repartition(parts, "variant").mapInArrow(matched, "a long, b long").distinct()
+    parts = shuffle_partitions(spark, fps.count() * len(flips(blocks, out)[0]) // ROWS_PER_TASK + 1)
+    emitted = fps.mapInArrow(variants(blocks, out), "variant long, fp long")
+    return emitted.repartition(parts, "variant").mapInArrow(matched(radius), "a long, b long").distinct()
 
 
 def roots_of(nodes: DataFrame) -> DataFrame:

@@ -1,12 +1,16 @@
 """Near copies by exact similarity: texts whose sets of five-word shingles have a Jaccard similarity of 4/5 or more are linked.
 
-Distances of fingerprints cannot settle this: at similarity 4/5, 64-bit fingerprints differ in ten bits on average. Instead,
-each text's distinct shingles are put in one order that holds for all texts. Two texts of n and m shingles that are linked
+The links are found by SimHash first, the operator of `simhash.py` with a wider scheme: fingerprints of five-word shingles that
+differ in RADIUS = 5 bits or fewer meet by balls of radius 1. Of the four blocks of 16 bits, two are left out in turn; those
+two in which a pair differs least hold two differing bits at most. Whole sets verify what meets.
+
+Distances of fingerprints cannot settle the rest: at similarity 4/5, 64-bit fingerprints differ in ten bits on average. For
+classes that are not in one component by then there is an exact way: each text's distinct shingles are put in one order that holds for all texts. Two texts of n and m shingles that are linked
 share at least 4/9 (n + m) of them, so the first of those is among the first n - ceil(4 n / 5) + 1 of each: only these are
 shuffled, and no link is lost, whatever the order is. Shingles that a bounded sample shows to be common come last, so that
 few texts meet by them. Of texts that meet, those go on whose places and numbers of shingles still allow a link.
 
-Links are verified by the whole sets, in two passes. First, texts that share a shingle meet the least of them and, chosen by a
+These links too are verified by the whole sets, in two passes. First, texts that share a shingle meet the least of them and, chosen by a
 hash, another of its PIVOTS least, so that a dense group costs about as many links as its members have shingles. Second, all pairs that are not yet in one component are compared. Pairs first
 meet by sketches, numbers of shingles by bucket: two sets share at most the sum of the lesser numbers, so what that rules out is
 no link. Shingles that many classes share bring the sketches along: tasks compare blocks of classes, any two of which meet, and
@@ -31,10 +35,12 @@ from pyspark.sql import types as T
 
 from sparkann.llm.common import key128, shuffle_partitions, text_bytes, written
 from sparkann.llm.components import components
-from sparkann.llm.simhash import ROWS_PER_TASK, SEED, chosen_rows
+from sparkann.llm.simhash import ROWS_PER_TASK, SEED, ball_links, chosen_rows, fingerprint
 
 #: Words of a shingle, and the least similarity as a fraction.
 WORDS, LEAST = 5, (4, 5)
+#: Differing bits that fingerprints meet at, blocks of their bits, and how many of these are left out in turn.
+RADIUS, PRINT_BLOCKS, LEFT_OUT = 5, ((0, 16), (16, 32), (32, 48), (48, 64)), 2
 #: Texts of the sample that common shingles are counted in, how many of them make a shingle common, and shingles listed.
 SAMPLE, COMMON, LISTED = 5000, 5, 50_000
 #: Classes that a task remembers to have given out.
@@ -83,12 +89,20 @@ def ordered(hashes: np.ndarray, common: np.ndarray, turns: np.ndarray) -> np.nda
 
 
 def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The class (fp), fingerprint and number of words of each text; a task makes the fingerprint of a class once."""
+    held: dict[int, int] = {}
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
             texts = text_bytes(part["text"])
-            fp = np.array([class_of(x) for x in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(fp), part["key"], pa.array([len(x.split()) for x in texts], pa.int64())], ["doc_id", "fp", "key", "words"])
+            fps = [class_of(x) for x in texts]
+            for own, x in zip(fps, texts, strict=True):
+                if own not in held:
+                    held[own] = fingerprint(x, WORDS)
+            fp, prints = (np.array(x, np.uint64).view(np.int64) for x in (fps, [held[own] for own in fps]))
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(fp), part["key"], pa.array([len(x.split()) for x in texts], pa.int64()), pa.array(prints)], ["doc_id", "fp", "key", "words", "print"])
+            if len(held) > REMEMBERED:
+                held.clear()
 
 
 def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,15 +176,15 @@ def pairs_of(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBa
 
 
 def to_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each class with the least of its shingle, and with another of the PIVOTS least."""
-    (token, fp, n, place), starts = gathered(batches, NAMES)
+    """Pairs of each class with the least of its shingle, and with another of the PIVOTS least, unless in one component."""
+    (token, fp, n, place, root), starts = gathered(batches, (*NAMES, "root"))
     sizes, n, own = np.diff(np.r_[starts, len(fp)]), n.astype(np.int64), np.arange(len(fp))
     first = np.repeat(starts, sizes)
     mixed = (token.view(np.uint64) ^ (fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F)
     other = first + ((mixed >> np.uint64(40)).astype(np.int64) % np.minimum(np.repeat(sizes, sizes), PIVOTS))
     found = []
     for to in (first, other):
-        at = np.flatnonzero((own != to) & possible(n, place, own, to))
+        at = np.flatnonzero((root[own] != root[to]) & possible(n, place, own, to))
         found.append((np.minimum(fp[at], fp[to[at]]), np.maximum(fp[at], fp[to[at]])))
     yield from pairs_of(found)
 
@@ -325,6 +339,28 @@ def linked(left: DataFrame, slim: DataFrame) -> DataFrame:
     return with_both(left, made_of(ends(left), slim, np.ndarray.tobytes, "shingle-sets")).mapInArrow(verified, "a long, b long")
 
 
+def print_pairs(nodes: DataFrame) -> DataFrame:
+    """nodes: a written table, fp (class) and print. Pairs of classes that connect all whose fingerprints differ in RADIUS bits or
+    fewer: each with the least of its fingerprint, and these by balls."""
+    least = written(nodes.groupBy("print").agg(F.min("fp").alias("least")), "prints")
+    same = nodes.join(least, "print").where("fp > least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    met = ball_links(least.select(F.col("print").alias("fp")), RADIUS, PRINT_BLOCKS, LEFT_OUT)
+    x, y = (least.select(F.col("print").alias(s), F.col("least").alias(h)) for s, h in (("a", "x"), ("b", "y")))
+    across = met.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return same.unionByName(across)
+
+
+def print_links(nodes: DataFrame, slim: DataFrame) -> DataFrame:
+    """Links of classes by SimHash: those that meet by their fingerprints and are similar."""
+    return linked(written(print_pairs(nodes), "print-pairs"), slim)
+
+
+def with_roots(shared_rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows of shared shingles, with the root of each class by the links."""
+    roots = components(links).select(F.col("node").alias("fp"), "root")
+    return shared_rows.join(roots, "fp", "left").select(*NAMES, "many", F.coalesce("root", "fp").alias("root"))
+
+
 def first_links(pairs: DataFrame, slim: DataFrame) -> DataFrame:
     held = made_of(ends(pairs), slim, sketch, "sketches")
     return linked(written(with_both(pairs, held).mapInArrow(plausible, "a long, b long"), "plausible-pairs"), slim)
@@ -346,7 +382,8 @@ def other_links(rooted: DataFrame, slim: DataFrame) -> DataFrame:
 
 
 def similar_links(slim: DataFrame, nodes: DataFrame) -> DataFrame:
-    """slim: key, text. nodes: fp, words. Links a, b that connect all classes that are similar."""
+    """slim: key, text. nodes: fp, words, print. Links a, b that connect all classes that are similar: by SimHash, and by shared
+    shingles those that it leaves apart."""
     spark = slim.sparkSession
     total = nodes.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).first()
     every = max(1, total[0] // SAMPLE)
@@ -360,21 +397,20 @@ def similar_links(slim: DataFrame, nodes: DataFrame) -> DataFrame:
     met = slim.select("text").mapInArrow(prefixes(common, turns), schema).repartition(parts, "token").mapInArrow(shared, schema + ", many long")
     met = written(met, "shared-shingles")
     few = shuffle_partitions(spark, met.count() // ROWS_PER_TASK + 1)
-    pairs = written(met.repartition(few, "token").mapInArrow(to_first, "a long, b long").distinct(), "first-pairs")
-    found = written(first_links(pairs, slim), "first-links")
-    roots = components(found).select(F.col("node").alias("fp"), "root")
-    rooted = met.where("many > 2").join(roots, "fp", "left").select(*NAMES, "many", F.coalesce("root", "fp").alias("root"))
-    return found.unionByName(other_links(written(rooted, "rooted"), slim))
+    near = written(print_links(nodes, slim), "print-links")
+    pairs = written(with_roots(met, near).repartition(few, "token").mapInArrow(to_first, "a long, b long").distinct(), "first-pairs")
+    found = near.unionByName(written(first_links(pairs, slim), "first-links"))
+    return found.unionByName(other_links(written(with_roots(met.where("many > 2"), found), "rooted"), slim))
 
 
 def one_of_similar(docs: DataFrame) -> DataFrame:
     """The row with the least doc_id of each component of similar texts, with all its columns; of rows that repeat doc_id and text, one."""
     key = key128(F.col("text").cast("string")).alias("key")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key, F.col("text").cast("string").alias("text"))
-    schema = T.StructType.fromDDL("doc_id long, fp long, key binary, words long")
+    schema = T.StructType.fromDDL("doc_id long, fp long, key binary, words long, print long")
     rows = written(slim.mapInArrow(classed, schema), "classes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "key")).alias("first")
-    nodes = written(rows.groupBy("fp").agg(first, F.max("words").alias("words")), "class-nodes")
+    nodes = written(rows.groupBy("fp").agg(first, F.max("words").alias("words"), F.max("print").alias("print")), "class-nodes")
     roots = written(components(similar_links(slim, nodes)), "components").withColumnRenamed("node", "fp")
     rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     return chosen_rows(docs, rows, rooted)

@@ -4,7 +4,9 @@ import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
-from sparkann.llm import similar
+from sparkann.llm import simhash, similar
+from sparkann.llm.common import written
+from sparkann.llm.components import components
 from tests.llm import cases
 
 
@@ -110,6 +112,55 @@ def test_blocks_meet_each_pair():
     assert len(found) == len(set(found)) and set(found) == wanted and wanted
 
 
+def changed(seed):
+    """Classes: many texts, each with copies of which a word or two are other ones, and what their sets share."""
+    rnd = random.Random(seed)
+    texts = []
+    for k in range(25):
+        base = [f"t{k}w{i}" for i in range(rnd.choice([4, 40, 150, 400]))]
+        for edits in (0, 1, 1, 2):
+            x = list(base)
+            for _ in range(edits):
+                x[rnd.randrange(len(x))] = f"v{rnd.randrange(10**6)}"
+            texts.append(" ".join(x))
+    return sorted(set(texts))
+
+
+def test_stage_meets_by_fingerprints(spark, monkeypatch):
+    """SimHash links all that are similar and whose fingerprints differ in five bits or fewer, without any shared shingles; the
+    whole stage goes through it."""
+    texts = [x.encode() for x in changed(7)]
+    prints = {similar.class_of(x): simhash.fingerprint(x, 5) for x in texts}
+    sets = {similar.class_of(x): similar.shingles(x) for x in texts}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    nodes = spark.createDataFrame([(signed(c), signed(p)) for c, p in prints.items()], "fp long, `print` long")
+    slim = spark.createDataFrame([(x.decode(),) for x in texts], "text string")
+    links = similar.print_links(written(nodes), slim).collect()
+    assert all(len(np.intersect1d(sets[r.a % (1 << 64)], sets[r.b % (1 << 64)])) >= similar.least_common(len(sets[r.a % (1 << 64)]), len(sets[r.b % (1 << 64)])) for r in links)
+    root = {r.node: r.root for r in components(spark.createDataFrame([tuple(r) for r in links], "a long, b long")).collect()}
+    close = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 5 and len(np.intersect1d(sets[a], sets[b])) >= similar.least_common(len(sets[a]), len(sets[b]))]
+    assert sum((prints[a] ^ prints[b]).bit_count() > 3 for a, b in close) > 3
+    assert all(root[signed(a)] == root[signed(b)] for a, b in close)
+    seen = []
+    monkeypatch.setattr(similar, "print_links", lambda nodes, slim, whole=similar.print_links: seen.append(written(whole(nodes, slim))) or seen[-1])
+    source = [(i, x.decode()) for i, x in enumerate(texts)]
+    kept = corpus_pipeline.near_dedup(spark, cases.frame(spark, [(d, t, "en") for d, t in source]), "").collect()
+    assert {r.doc_id for r in kept} == brute_kept(source) and seen[0].count() >= len(links) > 0
+
+
+def test_wider_balls_lose_no_link():
+    """All pairs of fingerprints with up to five differing bits share a variant."""
+    rnd = random.Random(8)
+    for bits in (0, 1, 2, 3, 4, 5, 5, 5, 5, 5, 5, 5, 5, 5, 5):
+        x = rnd.getrandbits(64)
+        y = x
+        for b in rnd.sample(range(64), bits):
+            y ^= 1 << b
+        batch = pa.RecordBatch.from_arrays([pa.array(np.array([x, y], np.uint64).view(np.int64))], ["fp"])
+        keys = next(simhash.variants(similar.PRINT_BLOCKS, similar.LEFT_OUT)(iter([batch])))["variant"].to_numpy()
+        assert len(np.intersect1d(keys[: len(keys) // 2], keys[len(keys) // 2 :]))
+
+
 def test_rows_stay_whole(spark):
     docs = cases.frame(spark, [(4, "the same text", "fr"), (4, "the same text", "fr"), (None, "the same text", "de"), (9, "another one", "en"), (None, "no id", "en")])
     rows = similar.one_of_similar(docs).collect()

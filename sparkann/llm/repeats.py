@@ -99,15 +99,12 @@ class Rolling:
         return mixed((sums[length:] - sums[:-length]) * self.down[: len(values) - length + 1])
 
 
-def sliding(values: np.ndarray, width: int, pick: np.ufunc, fill: int) -> np.ndarray:
-    """The least (pick: minimum) or greatest of each width values in a row, in time that doesn't depend on width."""
-    n = len(values)
-    blocks = np.full(-(-n // width) * width, np.uint64(fill))
-    blocks[:n] = values
-    blocks = blocks.reshape(-1, width)
-    left = pick.accumulate(blocks, axis=1).ravel()
-    right = pick.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return pick(right[: n - width + 1], left[width - 1 : n])
+def sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """The least (pick: minimum) or greatest of each width values in a row, from those of half as many in each step."""
+    done = 1
+    while 2 * done <= width:
+        values, done = pick(values[:-done], values[done:]), 2 * done
+    return pick(values[: len(values) - (width - done)], values[width - done :]) if done < width else values
 
 
 def segments(texts: list[bytes], rolling: Rolling, length: int, anchor: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -123,20 +120,20 @@ def segments(texts: list[bytes], rolling: Rolling, length: int, anchor: int) ->
         ends = np.cumsum([len(x) for _, _, x in part]) // unit
         begins = np.r_[0, ends[:-1]]
         hashes = rolling(data, anchor)
-        least = sliding(hashes, width, np.minimum, MASK)
+        least = sliding(hashes, width, np.minimum)
         # A k-gram is the anchor of some string around it if the greatest of their least hashes is its own. Where a segment
         # holds its anchor twice, nothing else is an anchor between the two.
         around = np.zeros(len(hashes) + width - 1, np.uint64)
         around[width - 1 : width - 1 + len(least)] = least
-        chosen = hashes[hashes == sliding(around, width, np.maximum, 0)]
+        chosen = hashes[hashes == sliding(around, width, np.maximum)]
         again = np.unique(chosen[1:][chosen[1:] == chosen[:-1]])
-        owner = np.searchsorted(ends, np.arange(len(least)), side="right")
+        owner = np.repeat(np.arange(len(part)), ends - begins)[: len(least)]
         valid = np.arange(len(least)) + length // unit <= ends[owner]
         new = valid.copy()
         new[1:] &= (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
         at = np.flatnonzero(new)
         stops = np.minimum(np.r_[at[1:], len(least)], ends[owner[at]] - length // unit + 1)
-        return np.array([i for i, _, _ in part])[owner[at]], np.array([o for _, o, _ in part])[owner[at]] + (at - begins[owner[at]]) * unit, stops - at, least[at], np.isin(least[at], again)
+        return np.array([i for i, _, _ in part])[owner[at]], np.array([o for _, o, _ in part])[owner[at]] + (at - begins[owner[at]]) * unit, stops - at, least[at], np.isin(least[at], again) if len(again) else np.zeros(len(at), bool)
 
     step = SCAN // 2 // unit * unit
     for i, text in enumerate(texts):
@@ -520,6 +517,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     return rows, texts.select("t1", "t2", "copies"), kept, repeated_passages(keyed, texts, words) if words else None
 
 
+def code_of(words: list[bytes]) -> bytes:
+    """WORD bytes of the hash of each word."""
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), np.uint8).reshape(-1, 8)[:, :WORD].tobytes()
+
+
 def coded(words: int):
     """Texts of so many words or more, as WORD bytes for each."""
 
@@ -529,7 +531,7 @@ def coded(words: int):
                 part = batch.slice(at, 256)
                 texts = [x.split() for x in text_bytes(part["text"])]
                 part = part.filter(pa.array([len(x) >= words for x in texts], pa.bool_()))
-                codes = [b"".join(xxhash.xxh64_digest(w)[:WORD] for w in x) for x in texts if len(x) >= words]
+                codes = [code_of(x) for x in texts if len(x) >= words]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["t1"], part["t2"], pa.array(codes, pa.binary())], ["doc_id", "t1", "t2", "text"])
 
     return run

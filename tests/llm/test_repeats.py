@@ -3,7 +3,9 @@ import random
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from sparkann.llm import repeats
@@ -182,3 +184,25 @@ def test_pipeline_cuts_passages_of_over_50_words(spark):
 def test_empty(spark):
     rows, texts, kept, passages = repeats.remove_repeats(cases.frame(spark, []), words=51)
     assert rows.collect() == [] and texts.collect() == [] and kept.collect() == [] and passages.collect() == []
+
+
+def test_scans_match_plain_loops():
+    """Sliding extremes of any width, segments of texts in one part, and codes of words."""
+    rnd = random.Random(12)
+    for width in (1, 2, 3, 4, 5, 8, 13, 201):
+        for n in (width, width + 1, 2 * width, 700):
+            x = np.array([rnd.getrandbits(64) for _ in range(max(n, width))], np.uint64)
+            for pick, plain in ((np.minimum, min), (np.maximum, max)):
+                want = [plain(x[i : i + width].tolist()) for i in range(len(x) - width + 1)]
+                assert repeats.sliding(x, width, pick).tolist() == want
+    texts = [bytes(rnd.randrange(97, 100) for _ in range(n)) for n in (20, 35, 0, 64, 20, 300)]
+    rolling = repeats.Rolling(repeats.BASES[0])
+    found = [x for part in repeats.segments(texts, rolling, 20, 9) for x in zip(*(y.tolist() for y in part), strict=True)]
+    want = []
+    for i, text in enumerate(texts):
+        least = [min(rolling(np.frombuffer(text[a : a + 20], np.uint8), 9).tolist()) for a in range(len(text) - 19)]
+        new = [a for a, h in enumerate(least) if not a or h != least[a - 1]]
+        want += [(i, a, b - a, least[a]) for a, b in zip(new, [*new[1:], len(least)], strict=False)]
+    assert [x[:4] for x in found] == want
+    words = [b"one", b"", b"\xff" * 99]
+    assert repeats.code_of(words) == b"".join(xxhash.xxh64_digest(w)[:6] for w in words) and repeats.code_of([]) == b""

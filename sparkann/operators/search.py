@@ -6,8 +6,9 @@ pruning; all members of fetched clusters are scored. With pad, as in private sea
 same for all queries, so that what is fetched gives no more away than that: a query that needs fewer clusters or subgroups
 in a round asks for others, drawn by a hash, and ignores them.
 
-State is one table keyed by (qid, node): every scored node with flags that only ever go up (visited, candidate, popped,
-offered), so that a round is a handful of joins for all queries together and its result a maximum by key. Rounds end in
+State is one table keyed by (qid, node): the nodes that a query has to do with, with flags that only ever go up (visited,
+candidate, popped, offered), so that a round is a handful of joins for all queries together and its result a maximum by key.
+Plainly scored clusters leave only their best members there; what else is met later is scored when it is. Rounds end in
 written tables. Results hold each node once; a cluster that is fetched in a later round than its neighbours were found in
 still counts them.
 """
@@ -27,7 +28,7 @@ from sparkann.functions.codes import join_parts, prune_factor, unpack_id
 from sparkann.functions.vectors import dot
 from sparkann.operators import pir
 from sparkann.operators.evaluate import moving_average
-from sparkann.operators.knn import as_matrix
+from sparkann.operators.knn import as_matrix, nearest
 from sparkann.operators.layout import Shape, database_cells, encoded_neighbours, renumbered
 from sparkann.sources.scratch import written
 
@@ -100,14 +101,70 @@ def pruned(pending: DataFrame, best: DataFrame, factor: float) -> DataFrame:
     return held.where(limit.isNull() | (F.col("cent_dist") <= F.ceil(limit))).select(pending.columns)
 
 
-def plain_scorer(queries: DataFrame, members: DataFrame) -> Callable[[DataFrame, int], DataFrame]:
-    """Scores all members of wanted clusters. members: new_id, cluster, sg_col, qvec."""
+#: Members of a block, and queries that meet it at once.
+MEMBERS, ASKED = 1 << 14, 2048
 
-    def score(pairs: DataFrame, round_: int) -> DataFrame:
-        held = pairs.select("qid", "cluster").join(queries.select("qid", F.col("qvec").alias("q")), "qid")
-        return members.join(held, "cluster").select("qid", "new_id", "cluster", "sg_col", (-dot("q", "qvec", "long")).alias("dist"))
 
-    return score
+class Ranked:
+    """Plain scores: the best members of wanted clusters by matrix products of blocks, others by pairs."""
+
+    def __init__(self, queries: DataFrame, members: DataFrame):
+        """queries: qid, qvec. members: new_id, cluster, local_idx, sg_col, qvec."""
+        self.queries, self.members = queries, members
+
+        def pack(table: pa.Table) -> pa.Table:
+            vecs = as_matrix(table["qvec"].combine_chunks())
+            return pa.table({"cluster": table["cluster"][:1], "part": table["part"][:1], "dim": pa.array([vecs.shape[1]], pa.int32()), **{x: [table[x].to_numpy().astype("<i8").tobytes()] for x in ("new_id", "sg_col")}, "vecs": [vecs.astype("<f4").tobytes()]})
+
+        held = members.where("qvec is not null").select("cluster", F.floor(F.col("local_idx") / MEMBERS).cast("int").alias("part"), "new_id", "sg_col", "qvec")
+        self.blocks = written(held.groupBy("cluster", "part").applyInArrow(pack, "cluster int, part int, dim int, new_id binary, sg_col binary, vecs binary"), "member-blocks")
+        self.buckets = max(1, -(-queries.count() // ASKED))
+
+    def best(self, pairs: DataFrame, round_: int) -> DataFrame:
+        """At least the best `wanted` members of each (qid, cluster, wanted)."""
+
+        def pack(table: pa.Table) -> pa.Table:
+            vecs = as_matrix(table["qvec"].combine_chunks())
+            return pa.table({"cluster": table["cluster"][:1], "qid": [table["qid"].to_numpy().astype("<i8").tobytes()], "wanted": pa.array([max(table["wanted"].to_pylist())], pa.int32()), "qvecs": [vecs.astype("<f4").tobytes()]})
+
+        def run(batches):
+            for batch in batches:
+                for r in batch.to_pylist():
+                    ids, sg_col = (np.frombuffer(r[x], "<i8") for x in ("new_id", "sg_col"))
+                    qids, (queries, base) = np.frombuffer(r["qid"], "<i8"), (np.frombuffer(r[x], "<f4").reshape(-1, r["dim"]).astype(np.float64) for x in ("qvecs", "vecs"))
+                    q, i, dist = nearest(qids, queries, ids, base, r["wanted"], "ip", False)
+                    order = np.argsort(ids)
+                    at = order[np.searchsorted(ids, i, sorter=order)]
+                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(np.full(len(q), r["cluster"], np.int32)), pa.array(sg_col[at].astype(np.int32)), pa.array(np.rint(dist).astype(np.int64))], ["qid", "new_id", "cluster", "sg_col", "dist"])
+
+        asked = pairs.join(self.queries.select("qid", "qvec"), "qid").withColumn("bucket", F.pmod(F.xxhash64("qid"), F.lit(self.buckets)))
+        asked = asked.groupBy("cluster", "bucket").applyInArrow(pack, "cluster int, qid binary, wanted int, qvecs binary")
+        met = asked.join(self.blocks.select("cluster", "part"), "cluster").join(self.blocks, ["cluster", "part"])
+        return met.select("cluster", "qid", "wanted", "qvecs", "dim", "new_id", "sg_col", "vecs").mapInArrow(run, "qid long, new_id long, cluster int, sg_col int, dist long")
+
+    def keep(self, fresh: DataFrame) -> None:
+        pass
+
+    def some(self, pairs: DataFrame) -> DataFrame:
+        """Scores of pairs (qid, new_id)."""
+        held = pairs.select("qid", "new_id").join(self.members.select("new_id", "cluster", "sg_col", "qvec"), "new_id").join(self.queries.select("qid", F.col("qvec").alias("q")), "qid")
+        return held.select("qid", "new_id", "cluster", "sg_col", (-dot("q", "qvec", "long")).alias("dist"))
+
+
+class Whole:
+    """Scores of a scorer that answers for whole clusters, as the private one must; all of them are kept."""
+
+    def __init__(self, score: Callable[[DataFrame, int], DataFrame]):
+        self.score, self.held = score, None
+
+    def best(self, pairs: DataFrame, round_: int) -> DataFrame:
+        return self.score(pairs.select("qid", "cluster"), round_)
+
+    def keep(self, fresh: DataFrame) -> None:
+        self.held = fresh if self.held is None else self.held.unionByName(fresh)
+
+    def some(self, pairs: DataFrame) -> DataFrame:
+        return pairs.select("qid", "new_id").join(self.held, ["qid", "new_id"]).select("qid", "new_id", "cluster", "sg_col", "dist")
 
 
 def private_scorer(queries: DataFrame, members: DataFrame, scheme: pir.EmbeddingScheme, seed: int | None = None, block: int = 64) -> Callable[[DataFrame, int], DataFrame]:
@@ -194,7 +251,7 @@ def members_offered(fresh: DataFrame, config: SearchConfig, first: bool) -> Data
     held = fresh.withColumn("r", F.row_number().over(order))
     seeds = max(config.top_candidates, 1) if first else config.top_candidates
     seed = F.col("r") <= seeds
-    return flagged(held, offered=F.col("r") <= config.results_per_cluster, candidate=seed, visited=seed)
+    return flagged(held.where(seed | (F.col("r") <= config.results_per_cluster)), offered=F.col("r") <= config.results_per_cluster, candidate=seed, visited=seed)
 
 
 def batch_of(state: DataFrame, cached: DataFrame, ef: int, most: int) -> tuple[DataFrame, DataFrame]:
@@ -219,7 +276,9 @@ def routed_search(queries: DataFrame, laid: DataFrame, qvectors: DataFrame, edge
     config = config or SearchConfig()
     spark = queries.sparkSession
     members = laid.join(qvectors.select("node_id", "qvec"), "node_id").select("node_id", "new_id", "cluster", "local_idx", "sg_col", "qvec")
-    score = scorer or plain_scorer(queries, members)
+    scored = Whole(scorer) if scorer else Ranked(queries, members)
+    full = members.groupBy("cluster").agg(F.count("*").alias("size"))
+    most = max(config.results_per_cluster, config.top_candidates, 1)
     linked = None if fetcher else written(renumbered(edges, laid).select("new_id", "nbr_id", F.col("cluster").alias("nbr_cluster")).distinct(), "linked")
     sizes = laid.agg(F.count("*"), F.count_distinct("cluster"), F.max("sg_col")).first()
     factor = prune_factor(sizes[0] // max(1, sizes[1]), config.is_unsigned)
@@ -227,7 +286,9 @@ def routed_search(queries: DataFrame, laid: DataFrame, qvectors: DataFrame, edge
     start = written(entries(scores, config.entry_clusters), "entries")
     best = start.where("rank = 1").select("qid", F.col("cent_dist").alias("best"))
     fetched = start.select("qid", "cluster", F.lit(0).alias("round"))
-    state = written(merged(members_offered(score(start, 0), config, True)), "state")
+    fresh = written(scored.best(start.select("qid", "cluster", F.lit(most).alias("wanted")), 0).select("qid", "new_id", "cluster", "sg_col", "dist"), "fetched")
+    scored.keep(fresh)
+    state = written(merged(members_offered(fresh, config, True)), "state")
     cached = spark.createDataFrame([], "qid long, sg_col int")
     pending = spark.createDataFrame([], "qid long, cluster int, cent_dist long, round int")
     waiting = spark.createDataFrame([], "qid long, new_id long, cluster int")
@@ -240,11 +301,12 @@ def routed_search(queries: DataFrame, laid: DataFrame, qvectors: DataFrame, edge
             asked = padded_subgroups(wanted, queries, (sizes[2] or 0) + 1, config.subgroups_per_round, i) if config.pad else wanted
             fetched_links = fetcher(asked, i)
             linked = fetched_links if linked is None else written(linked.unionByName(fetched_links).distinct(), "linked")
-        near = taken.join(linked, ["qid", "new_id"] if fetcher else "new_id").select("qid", F.col("nbr_id").alias("new_id"), F.col("nbr_cluster").alias("nbr_cluster")).distinct()
-        known = written(near.join(state, ["qid", "new_id"], "left"), "near")
-        here = known.where("dist is not null and not visited")
-        waiting = written(waiting.unionByName(known.where("dist is null").select("qid", "new_id", F.col("nbr_cluster").alias("cluster"))).distinct(), "waiting")
-        found = known.where("dist is null").select("qid", F.col("nbr_cluster").alias("cluster")).distinct().join(scores, ["qid", "cluster"]).withColumn("round", F.lit(i))
+        near = taken.join(linked, ["qid", "new_id"] if fetcher else "new_id").select("qid", F.col("nbr_id").alias("new_id"), F.col("nbr_cluster").alias("cluster")).distinct()
+        near = near.join(fetched.select("qid", "cluster", F.lit(True).alias("here")), ["qid", "cluster"], "left").join(state.where("visited").select("qid", "new_id"), ["qid", "new_id"], "left_anti")
+        near = written(near.select("qid", "new_id", "cluster", "here"), "near")
+        here, away = scored.some(near.where("here")), near.where("here is null").select("qid", "new_id", "cluster")
+        waiting = written(waiting.unionByName(away).distinct(), "waiting")
+        found = away.select("qid", "cluster").distinct().join(scores, ["qid", "cluster"]).withColumn("round", F.lit(i))
         both = pending.unionByName(found.select(pending.columns)).groupBy("qid", "cluster").agg(F.min("cent_dist").alias("cent_dist"), F.min("round").alias("round"))
         both = written(both, "pending")
         best = written(best.unionByName(both.select("qid", F.col("cent_dist").alias("best"))).groupBy("qid").agg(F.min("best").alias("best")), "best")
@@ -254,23 +316,24 @@ def routed_search(queries: DataFrame, laid: DataFrame, qvectors: DataFrame, edge
         ranked = written(kept.withColumn("nth", F.row_number().over(order)), "ranked")
         chosen = ranked.where(F.col("nth") <= config.clusters_per_round)
         pending = ranked.where(F.col("nth") > config.clusters_per_round).select(pending.columns)
-        if config.pad:
-            fresh = score(padded_clusters(chosen, scores, config.clusters_per_round, i), i).join(chosen.select("qid", "cluster"), ["qid", "cluster"], "left_semi")
-        else:
-            fresh = score(chosen, i)
+        asked = padded_clusters(chosen, scores, config.clusters_per_round, i) if config.pad else chosen.select("qid", "cluster")
+        met = waiting.groupBy("qid", "cluster").agg(F.count("*").alias("met"))  # these don't count among the best
+        fresh = scored.best(asked.join(met, ["qid", "cluster"], "left").select("qid", "cluster", (most + F.coalesce("met", F.lit(0))).cast("int").alias("wanted")), i)
+        fresh = fresh.join(chosen.select("qid", "cluster"), ["qid", "cluster"], "left_semi") if config.pad else fresh
         fresh = written(fresh.select("qid", "new_id", "cluster", "sg_col", "dist"), "fetched")
-        reached = fresh.join(waiting.select("qid", "new_id"), ["qid", "new_id"], "left_semi")
+        scored.keep(fresh)
+        reached = scored.some(waiting.join(chosen.select("qid", "cluster"), ["qid", "cluster"], "left_semi"))
         rest = fresh.join(waiting.select("qid", "new_id"), ["qid", "new_id"], "left_anti")
         waiting = waiting.join(chosen.select("qid", "cluster"), ["qid", "cluster"], "left_anti").select("qid", "new_id", "cluster")
         fetched = written(fetched.unionByName(chosen.select("qid", "cluster", F.lit(i).alias("round"))), "fetched-clusters")
         on = {"visited": True, "candidate": True, "offered": True}
-        state = written(merged(state, flagged(taken, popped=True, visited=True, candidate=True, offered=True), flagged(here, **on), flagged(fresh), flagged(reached, **on), members_offered(rest, config, False)), "state")
+        state = written(merged(state, flagged(taken, popped=True, visited=True, candidate=True, offered=True), flagged(here, **on), flagged(reached, **on), members_offered(rest, config, False)), "state")
     order = Window.partitionBy("qid").orderBy("dist", "new_id")
     ids = laid.select("node_id", "new_id")
     out = results(state, ef).where(F.col("r") <= k).join(ids, "new_id").select("qid", F.row_number().over(order).alias("rank"), "node_id", "dist")
     stats = queries.select("qid").join(fetched.groupBy("qid").agg(F.count("*").alias("clusters_fetched")), "qid", "left")
     stats = stats.join(cached.groupBy("qid").agg(F.count("*").alias("subgroups_fetched")), "qid", "left").join(skipped.groupBy("qid").agg(F.sum("n").alias("clusters_skipped")), "qid", "left")
-    stats = stats.join(state.groupBy("qid").agg(F.count("*").alias("nodes_scored"), F.count_if("visited").alias("nodes_visited")), "qid", "left")
+    stats = stats.join(fetched.join(F.broadcast(full), "cluster").groupBy("qid").agg(F.sum("size").alias("nodes_scored")), "qid", "left").join(state.groupBy("qid").agg(F.count_if("visited").alias("nodes_visited")), "qid", "left")
     per_round = config.clusters_per_round + config.subgroups_per_round
     stats = stats.na.fill(0).withColumns({"embedding_requests": F.lit(config.entry_clusters + config.rounds * config.clusters_per_round), "neighbour_requests": F.lit(config.rounds * config.subgroups_per_round), "round_trips": F.lit(1 + config.rounds * (2 if config.batch else per_round))})
     padded = {f"{x}_padded": F.col(f"{r}_requests") - F.col(f"{x}_fetched") if config.pad else F.lit(0).cast("long") for x, r in (("clusters", "embedding"), ("subgroups", "neighbour"))}

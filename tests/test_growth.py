@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkann.operators import knn
+from sparkann.functions.vectors import dot
+from sparkann.operators import cluster, evaluate, knn, layout, search
+from sparkann.plans import queries
 
 
 def drawn(spark, n=200, d=4, high=4, seed=1):
@@ -42,3 +44,54 @@ def test_vectors_that_are_not_finite_take_no_part(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [float("inf"), 0.0]), (3, [float("nan"), 0.0])], "node_id long, vec array<double>")
     q = v.select(F.col("node_id").alias("qid"), "vec")
     assert [(r.qid, r.node_id, r.dist) for r in knn.exact_topk(q, v, 1, "ip").orderBy("qid").collect()] == [(0, 1, -2.0), (1, 0, -2.0)]
+
+
+def test_search_keeps_the_best_of_a_cluster_and_finds_the_same(spark, monkeypatch):
+    """Before, every member of a fetched cluster stayed in the state of every query."""
+    q = drawn(spark, 240, 6, 60).withColumn("cluster", (F.col("node_id") % 3).cast("int")).withColumnRenamed("vec", "qvec").cache()
+    laid = layout.layout(q.select("node_id", "cluster"), 8).cache()
+    vectors = q.select("node_id", F.col("qvec").alias("vec"))
+    edges = knn.knn_graph(vectors, 4, "ip").cache()
+    centres = cluster.centroids(q.select("node_id", "cluster", F.col("qvec").alias("vec"))).cache()
+    asked = q.where("node_id < 6").select(F.col("node_id").alias("qid"), "qvec").cache()
+    members = laid.join(q.select("node_id", "qvec"), "node_id")
+    states = []
+    monkeypatch.setattr(search, "MEMBERS", 32)
+    monkeypatch.setattr(search, "results", lambda state, ef, f=search.results: states.append(state) or f(state, ef))
+
+    def whole(pairs, round_):
+        held = pairs.join(asked.select("qid", F.col("qvec").alias("q")), "qid").join(members, "cluster")
+        return held.select("qid", "new_id", "cluster", "sg_col", (-dot("q", "qvec", "long")).alias("dist"))
+
+    config = search.SearchConfig(rounds=2, results_per_cluster=5, prune=False)
+    run = lambda scorer: [sorted(map(tuple, x.collect())) for x in search.routed_search(asked, laid, q.select("node_id", "qvec"), edges, centres, 5, 20, config, scorer)]
+    found, stats = run(None)
+    scored = sum(r[4] for r in stats)
+    assert scored > 6 * 80 and states[-1].count() < scored / 2
+    assert [found, stats] == run(whole)
+
+
+def test_ranks_by_label_are_those_of_all_relevant_pairs(spark):
+    a = spark.createDataFrame([(i, [0, 0, 0, 1, 1, 2][i % 6] if i else 3) for i in range(30)], "node_id long, cluster int")
+    asked = a.where("node_id % 5 = 0").select(F.col("node_id").alias("qid"))
+    rng = np.random.default_rng(2)
+    results = spark.createDataFrame([(q, r + 1, int(n)) for q in range(0, 30, 5) for r, n in enumerate(rng.permutation(30)[:6])], "qid long, rank int, node_id long")
+    relevant = a.join(a.join(asked, F.col("node_id") == F.col("qid")).select("qid", "cluster"), "cluster").where("qid <> node_id").select("qid", "node_id")
+    for k in (1, 3, 6):
+        assert sorted(map(tuple, evaluate.label_ranks(results, a, asked, k).collect())) == sorted(map(tuple, evaluate.reciprocal_ranks(results, relevant, k).collect()))
+
+
+def test_relevant_pairs_are_not_made(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("all pairs of a label")
+
+    monkeypatch.setattr(evaluate, "reciprocal_ranks", refuse)
+    assert queries.qrels_mrr(spark, "/root/testdata/sf0.001").count() == 5
+
+
+def test_traffic_needs_no_graph(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("a graph for sizes alone")
+
+    monkeypatch.setattr(queries, "edges", refuse)
+    assert queries.comm_cost(spark, "/root/testdata/sf0.001").count() == 6

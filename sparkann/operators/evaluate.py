@@ -28,6 +28,18 @@ def reciprocal_ranks(results: DataFrame, relevant: DataFrame, k: int = 10) -> Da
     return relevant.select("qid").distinct().join(first, "qid", "left").select("qid", F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"))
 
 
+def label_ranks(results: DataFrame, assignment: DataFrame, asked: DataFrame, k: int = 10) -> DataFrame:
+    """reciprocal_ranks where all other rows of the query's cluster are relevant. assignment: node_id, cluster; asked: qid. Only results
+    are compared; that a query has relevant rows at all is seen from the size of its cluster."""
+    of_q = asked.distinct().join(assignment.select(F.col("node_id").alias("qid"), F.col("cluster").alias("own")), "qid")
+    sizes = assignment.groupBy(F.col("cluster").alias("own")).agg(F.count_distinct("node_id").alias("n"))
+    judged = of_q.join(sizes, "own").where("n > 1").select("qid", "own")
+    of_node = assignment.select("node_id", F.col("cluster").alias("own"))
+    held = results.where((F.col("rank") <= k) & (F.col("qid") != F.col("node_id")))
+    first = held.join(judged, "qid").join(of_node, ["node_id", "own"], "left_semi").groupBy("qid").agg(F.min("rank").alias("first"))
+    return judged.select("qid").distinct().join(first, "qid", "left").select("qid", F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"))
+
+
 def mrr(results: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
     return reciprocal_ranks(results, relevant, k).agg(F.count("*").alias("queries"), F.avg("rr").alias("mrr"))
 

@@ -24,6 +24,8 @@ from sparkann.operators.layout import Shape
 from sparkann.sources.scratch import written
 
 EMBEDDING_P, NEIGHBOUR_P = 1 << 24, 1 << 7
+#: Columns of a block of the neighbour database, and queries that one scan of it answers.
+COLUMNS, QUERIES = 2048, 512
 
 
 class SimplePIR:
@@ -150,56 +152,114 @@ class NeighbourScheme:
     seed: int = 0
     p: int = NEIGHBOUR_P
     sigma: float = ring.SIGMA
+    block: int = COLUMNS
 
     def shared(self) -> np.ndarray:
         """A, one row for each column of the database: the index's size, not the data's."""
         return ring.uniform(self.sizes.columns, self.n, self.seed)
 
-    def query(self, column: int, secret: np.ndarray, noise_seed: int | None = None) -> np.ndarray:
+    def shared_blocks(self) -> Iterator[np.ndarray]:
+        """The rows of A, a block at a time, without holding all of them."""
+        rng = np.random.default_rng([self.seed])
+        for at in range(0, self.sizes.columns, self.block):
+            yield rng.integers(0, RING, (min(self.block, self.sizes.columns - at), self.n), dtype=np.uint32)
+
+    def checked(self, column: int) -> int:
         if not 0 <= column < self.sizes.columns:
             raise ValueError(f"no column {column} among {self.sizes.columns}")
+        return column
+
+    def query(self, column: int, secret: np.ndarray, noise_seed: int | None = None) -> np.ndarray:
         out = ring.multiply(self.shared(), secret).astype(np.int64) + ring.gaussian(self.sizes.columns, noise_seed, self.sigma)
-        out[column] += delta(self.p)
+        out[self.checked(column)] += delta(self.p)
         return out.astype(np.uint32)
 
+    def queries(self, columns: np.ndarray, secrets: np.ndarray, noise: np.ndarray) -> Iterator[np.ndarray]:
+        """The queries of many columns, a block of the database's columns at a time: (block, queries) each. secrets: (n, queries);
+        noise: (columns, queries)."""
+        at = 0
+        for shared in self.shared_blocks():
+            part = ring.multiply(shared, secrets).astype(np.int64) + noise[at : at + len(shared)]
+            mine = np.flatnonzero((columns >= at) & (columns < at + len(shared)))
+            part[columns[mine] - at, mine] += delta(self.p)
+            yield part.astype(np.uint32)
+            at += len(shared)
 
-def neighbour_sums(cells: DataFrame, held: np.ndarray, names: list[int], rows: int) -> DataFrame:
-    """name, place, total: the database times each vector of held (column of the database by name). Cells that are not there hold
-    INVALID_PART, so a row is INVALID_PART times the vector's sum, and what its cells differ by."""
-    base = [int(x) * INVALID_PART % RING for x in held.astype(np.uint64).sum(axis=0) % RING]
-    wide = held.astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column, place, value = (batch[x].to_numpy(zero_copy_only=False).astype(np.int64) for x in ("sg_col", "row", "value"))
-            part = ((value - INVALID_PART)[:, None] * wide[column]) % RING
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.array(names, np.int64), len(place))), pa.array(np.repeat(place.astype(np.int32), len(names))), pa.array(part.ravel())], ["name", "place", "part"])
+def database(cells: DataFrame, scheme: NeighbourScheme) -> DataFrame:
+    """part, data: the neighbour database in written blocks of columns, a byte a cell. Cells that are not there hold INVALID_PART; a
+    block with none at all is left out."""
+    rows, columns, block = scheme.sizes.rows, scheme.sizes.columns, scheme.block
 
-    spark = cells.sparkSession
-    empty = spark.range(rows).select(F.explode(F.array(*(F.struct(F.lit(n).cast("long").alias("name"), F.lit(b).cast("long").alias("part")) for n, b in zip(names, base, strict=True)))).alias("s"), F.col("id").cast("int").alias("place")).select("s.name", "place", "s.part")
-    parts = cells.select("sg_col", "row", "value").mapInArrow(run, "name long, place int, part long").unionByName(empty)
-    return parts.groupBy("name", "place").agg(F.pmod(F.sum("part"), F.lit(RING)).alias("total"))
+    def pack(table: pa.Table) -> pa.Table:
+        column, row, value = (table[x].to_numpy() for x in ("sg_col", "row", "value"))
+        part = int(column[0]) // block
+        held = np.full((rows, min(block, columns - part * block)), INVALID_PART, np.uint8)
+        held[row, column - part * block] = value
+        return pa.table({"part": pa.array([part], pa.int32()), "data": pa.array([held.tobytes()], pa.binary())})
 
+    held = cells.select(F.floor(F.col("sg_col") / block).cast("int").alias("part"), "sg_col", "row", "value")
+    return written(held.groupBy("part").applyInArrow(pack, "part int, data binary"), "database")
 
-def neighbour_hints(cells: DataFrame, scheme: NeighbourScheme) -> DataFrame:
-    """place, hint: one row for each row of the database."""
-    total = neighbour_sums(cells, scheme.shared(), list(range(scheme.n)), scheme.sizes.rows)
 
-    def pack(pdf):
-        import pandas as pd
+def block_of(data: bytes | None, rows: int, width: int) -> np.ndarray:
+    return np.full((rows, width), INVALID_PART, np.uint8) if data is None else np.frombuffer(data, np.uint8).reshape(rows, width)
 
-        return pd.DataFrame({"place": [pdf["place"].iloc[0]], "hint": [pdf.sort_values("name")["total"].to_numpy().astype("<u4").tobytes()]})
 
-    return total.groupBy("place").applyInPandas(pack, "place int, hint binary")
+def neighbour_hints(db: DataFrame, scheme: NeighbourScheme) -> DataFrame:
+    """place, hint: one row for each row of the database (as from database())."""
+    rows, n = scheme.sizes.rows, scheme.n
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = {r["part"]: r["data"] for r in batch.to_pylist()}
+            for part, shared in enumerate(scheme.shared_blocks()):
+                if part in held:
+                    total = ring.multiply(block_of(held[part], rows, len(shared)), shared).astype("<u4")
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(rows, dtype=np.int32)), pa.array([h.tobytes() for h in total], pa.binary())], ["place", "hint"])
 
-def private_columns(cells: DataFrame, scheme: NeighbourScheme, wanted: dict[int, int], hinted: DataFrame | None = None, seed: int | None = None) -> DataFrame:
-    """ct, place, value: columns (ct: column) of the neighbour database, retrieved through the scheme; exact."""
-    own = {ct: ring.secret(scheme.n, None if seed is None else seed * 1_000_003 + ct) for ct in wanted}
-    sent = np.stack([scheme.query(column, own[ct], None if seed is None else seed * 1_000_003 + ct) for ct, column in wanted.items()], axis=1)
-    answered = neighbour_sums(cells, sent, list(wanted), scheme.sizes.rows).select(F.col("name").alias("ct"), "place", F.col("total").alias("answer"))
-    hinted = hinted if hinted is not None else written(neighbour_hints(cells, scheme), "neighbour-hints")
-    return recovered(answered, hinted, own, scheme.p, signed=False)
+    def add(pdf):
+        return pdf.iloc[:1].assign(hint=[np.sum([np.frombuffer(x, "<u4") for x in pdf["hint"]], axis=0, dtype=np.uint32).astype("<u4").tobytes()])
+
+    spark = db.sparkSession
+    there = {r["part"] for r in db.select("part").collect()}
+    lost = np.zeros(n, np.uint32)  # of blocks that are left out, alike for all rows
+    if len(there) < -(-scheme.sizes.columns // scheme.block):
+        for part, shared in enumerate(scheme.shared_blocks()):
+            lost += np.uint32(0) if part in there else shared.sum(axis=0, dtype=np.uint32) * np.uint32(INVALID_PART)
+    empty = spark.range(rows).select(F.col("id").cast("int").alias("place"), F.lit(bytearray(lost.astype("<u4").tobytes())).alias("hint"))
+    return db.mapInArrow(run, "place int, hint binary").unionByName(empty).groupBy("place").applyInPandas(add, "place int, hint binary")
+
+
+def private_columns(db: DataFrame, scheme: NeighbourScheme, wanted: dict[int, int] | DataFrame, hinted: DataFrame | None = None, seed: int | None = None) -> DataFrame:
+    """ct, place, value: columns (ct: column, or a table of them) of the neighbour database, retrieved through the scheme; exact.
+    db: as from database(), or cells. A task makes a block of queries, answers them in one scan and recovers; it holds the database, a
+    byte a cell, and the noise of its queries. Secrets stay in the task."""
+    spark, rows, columns, n = db.sparkSession, scheme.sizes.rows, scheme.sizes.columns, scheme.n
+    db = db if "data" in db.columns else database(db, scheme)
+    if isinstance(wanted, dict):
+        wanted = spark.createDataFrame([(ct, scheme.checked(column)) for ct, column in wanted.items()], "ct long, column int")
+    hinted = hinted if hinted is not None else neighbour_hints(db, scheme)
+    hint = np.stack([np.frombuffer(r["hint"], "<u4") for r in hinted.orderBy("place").collect()])  # the database's rows, not its columns
+    blocks = max(1, -(-wanted.count() // QUERIES))
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        ct, column = (asked[x].to_numpy() for x in ("ct", "column"))
+        seeds = [None if seed is None else seed * 1_000_003 + x for x in ct.tolist()]
+        for x in column.tolist():
+            scheme.checked(x)
+        secrets = np.stack([ring.secret(n, s) for s in seeds], axis=1) if len(ct) else np.zeros((n, 0), np.uint32)
+        noise = np.stack([ring.gaussian(columns, s, scheme.sigma).astype(np.int8) for s in seeds], axis=1) if len(ct) else np.zeros((columns, 0), np.int8)
+        data = dict(zip(held["part"].to_pylist(), held["data"].to_pylist(), strict=True))
+        answer = np.zeros((rows, len(ct)), np.uint32)
+        for part, sent in enumerate(scheme.queries(column, secrets, noise)):
+            answer += ring.multiply(block_of(data.get(part), rows, len(sent)), sent)
+        value = ring.round_to_plain(answer - ring.multiply(hint, secrets), scheme.p)
+        return pa.table({"ct": np.tile(ct, rows), "place": np.repeat(np.arange(rows, dtype=np.int32), len(ct)), "value": value.ravel()})
+
+    asked = wanted.select("ct", F.col("column").cast("int").alias("column"), F.pmod(F.col("ct"), F.lit(blocks)).cast("int").alias("blk"))
+    scans = db.select("part", "data", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"))
+    return asked.groupBy("blk").cogroup(scans.groupBy("blk")).applyInArrow(run, "ct long, place int, value long")
 
 
 def column_parts(values: DataFrame, sizes: Shape) -> DataFrame:

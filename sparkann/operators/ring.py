@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from sparkann.functions.codes import delta
 
 SIGMA, TAIL = 6.4, 33  # of the error distribution
+#: Products of a multiplication from which it goes by halves.
+HALVED = 1 << 16
 BLOCKS = "row_blk int, col_blk int, rows int, cols int, data binary"
 
 
@@ -45,11 +47,24 @@ def word(logq: int) -> type:
 
 def multiply(a: np.ndarray, b: np.ndarray, logq: int = 32) -> np.ndarray:
     """a @ b modulo 2^logq. Signed entries count modulo 2^logq. 32-bit products are summed in 64 bits, exactly modulo 2^32."""
+    a, b = np.asarray(a), np.asarray(b)
+    if logq == 32 and a.ndim == 2 and a.size * (b.size // max(1, a.shape[1])) > HALVED and a.shape[1] <= 1 << 20:
+        return by_halves(a, b)
     kind = np.uint64
-    product = np.asarray(a).astype(np.int64).astype(kind) @ np.asarray(b).astype(np.int64).astype(kind) if np.asarray(a).dtype.kind == "i" or np.asarray(b).dtype.kind == "i" else np.asarray(a).astype(kind) @ np.asarray(b).astype(kind)
+    product = a.astype(np.int64).astype(kind) @ b.astype(np.int64).astype(kind) if a.dtype.kind == "i" or b.dtype.kind == "i" else a.astype(kind) @ b.astype(kind)
     return product.astype(word(logq))
 
 
+def by_halves(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same modulo 2^32 by matrix products of 16-bit halves as doubles: sums of up to 2^20 products of halves are exact."""
+    (a_low, a_high), (b_low, b_high) = ((x & np.uint32(0xFFFF), x >> np.uint32(16)) for x in (a.astype(np.uint32), b.astype(np.uint32)))
+    a_low, b_low = a_low.astype(np.float64), b_low.astype(np.float64)
+    out, high = a_low @ b_low, a_low @ b_high.astype(np.float64)
+    if a_high.any():
+        high += a_high.astype(np.float64) @ b_low
+    return (out.astype(np.uint64) + (high.astype(np.uint64) << np.uint64(16))).astype(np.uint32)
+
+
 def round_to_plain(x: np.ndarray, p: int, logq: int = 32) -> np.ndarray:
     d = delta(p, logq)
     return (((x.astype(object) if logq == 64 else x.astype(np.uint64)) + d // 2) // d % p).astype(np.int64)

@@ -192,9 +192,9 @@ def private_scorer(queries: DataFrame, members: DataFrame, scheme: pir.Embedding
 def private_fetcher(laid: DataFrame, edges: DataFrame, sizes: Shape, lwe: int = 1024, seed: int | None = None) -> Callable[[DataFrame, int], DataFrame]:
     """The neighbours of wanted subgroups (qid, sg_col) as qid, new_id, nbr_id, nbr_cluster, retrieved through the neighbour scheme."""
     spark = laid.sparkSession
-    cells = written(database_cells(encoded_neighbours(edges, laid, sizes), laid, sizes), "cells")
     scheme = pir.NeighbourScheme(sizes, n=lwe)
-    hinted = written(pir.neighbour_hints(cells, scheme), "neighbour-hints")
+    db = pir.database(database_cells(encoded_neighbours(edges, laid, sizes), laid, sizes), scheme)
+    hinted = written(pir.neighbour_hints(db, scheme), "neighbour-hints")
     at = laid.select("sg_col", "idx_in_sg", "new_id")
     ids = laid.select("cluster", "local_idx", F.col("new_id").alias("nbr_id"))
 
@@ -202,7 +202,7 @@ def private_fetcher(laid: DataFrame, edges: DataFrame, sizes: Shape, lwe: int =
         wanted = [(r["qid"], r["sg_col"]) for r in pairs.select("qid", "sg_col").orderBy("qid", "sg_col").collect()]  # a few of each query
         if not wanted:
             return spark.createDataFrame([], "qid long, new_id long, nbr_id long, nbr_cluster int")
-        got = pir.private_columns(cells, scheme, {i: c for i, (_, c) in enumerate(wanted)}, hinted, None if seed is None else seed + 104729 * round_)
+        got = pir.private_columns(db, scheme, {i: c for i, (_, c) in enumerate(wanted)}, hinted, None if seed is None else seed + 104729 * round_)
         cluster, local = unpack_id(F.col("code"), sizes.local_bits)
         held = pir.column_parts(got, sizes).withColumn("code", join_parts(F.col("parts"))).where("code is not null")
         names = spark.createDataFrame([(i, q, c) for i, (q, c) in enumerate(wanted)], "ct long, qid long, sg_col int")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkann.functions.vectors import dot
-from sparkann.operators import cluster, evaluate, knn, layout, search
+from sparkann.operators import cluster, evaluate, knn, layout, pir, ring, search
 from sparkann.plans import queries
 
 
@@ -95,3 +95,30 @@ def test_traffic_needs_no_graph(spark, monkeypatch):
 
     monkeypatch.setattr(queries, "edges", refuse)
     assert queries.comm_cost(spark, "/root/testdata/sf0.001").count() == 6
+
+
+def test_products_by_halves_wrap():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(-(1 << 31), 1 << 32, (70, 60)), rng.integers(0, 1 << 32, (60, 40), dtype=np.uint32)
+    assert (ring.multiply(a, b) == ((a.astype(object) @ b.astype(object)) % (1 << 32)).astype(np.uint32)).all()
+
+
+def test_private_columns_by_blocks(spark, monkeypatch):
+    """Before, each cell met every query, and the queries were made and held by the driver."""
+
+    def refuse(*_):
+        raise AssertionError("a query in the driver")
+
+    monkeypatch.setattr(pir, "QUERIES", 5)
+    monkeypatch.setattr(pir.NeighbourScheme, "query", refuse)
+    sizes = layout.Shape(0, 3, 40, 4, 3)  # 30 columns
+    rng = np.random.default_rng(5)
+    held = {(int(c), int(r)): int(v) for c, r, v in zip(rng.choice([*range(7), *range(14, 30)], 200), rng.integers(0, sizes.rows, 200), rng.integers(0, 127, 200), strict=True)}
+    cells = spark.createDataFrame([(c, r, v) for (c, r), v in held.items()], "sg_col int, row int, value int")
+    scheme = pir.NeighbourScheme(sizes, n=16, block=7)
+    got = pir.private_columns(cells, scheme, spark.range(30).select(F.col("id").alias("ct"), (29 - F.col("id")).alias("column")), seed=1).collect()
+    assert len(got) == 30 * sizes.rows and all(r.value == held.get((29 - r.ct, r.place), 127) for r in got)
+    own, noise = ring.secret(16, 9), ring.gaussian(30, 4)
+    monkeypatch.undo()
+    blocks = list(scheme.queries(np.array([11]), own[:, None], noise[:, None]))
+    assert (np.concatenate(blocks)[:, 0] == scheme.query(11, own, 4)).all()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkann.functions.vectors import dot
-from sparkann.operators import cluster, evaluate, knn, layout, pir, ring, search
+from sparkann.operators import cluster, evaluate, graph, knn, layout, pir, ring, search
 from sparkann.plans import queries
 
 
@@ -122,3 +122,15 @@ def test_private_columns_by_blocks(spark, monkeypatch):
     monkeypatch.undo()
     blocks = list(scheme.queries(np.array([11]), own[:, None], noise[:, None]))
     assert (np.concatenate(blocks)[:, 0] == scheme.query(11, own, 4)).all()
+
+
+def test_beam_is_as_wide_as_a_sample_needs(spark):
+    """Random directions, few edges: the width that is asked for finds under nine tenths."""
+    rng = np.random.default_rng(7)
+    v = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=24)]) for i in range(1500)], "node_id long, vec array<double>").cache()
+    nodes, edges = graph.build_graph(v, m=3, ef_construction=16)
+    q = v.where("node_id % 50 = 0").select(F.col("node_id").alias("qid"), "vec")
+    truth = knn.exact_topk(q, v, 10).cache()
+    recall = lambda ef: evaluate.recall(graph.graph_search(q, v, nodes, edges, 10, ef, exclude_self=True), truth, 10).first()["recall"]
+    ef = graph.wide_enough(v, nodes, edges, 10, 16)
+    assert ef > 16 and recall(16) < 0.9 <= recall(ef)
